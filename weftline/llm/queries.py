@@ -23,6 +23,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_index(spark, out)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.minhash import Scheme, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Scheme(percent=85))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.packing import pack_documents
 
@@ -32,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op9_minhash": op9_minhash,
         "op10_packing": op10_packing,
     }
 
