@@ -23,6 +23,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_index(spark, out)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.minhash import Scheme, near_duplicates
 
@@ -38,6 +50,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_decontaminate": op2_decontaminate,
+        "op6_quality": op6_quality,
         "op9_minhash": op9_minhash,
         "op10_packing": op10_packing,
     }

@@ -73,12 +73,12 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice, with A-Z lower-cased in the hashes."""
+    """Words of a slice, ``[^\\x20\\x09-\\x0D]+`` unless told otherwise, with A-Z lower-cased in the hashes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, hashes: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.offsets, n = offsets, len(raw)
         inside = np.empty(n + 1, bool)
-        np.logical_not(SEPARATOR[raw], out=inside[:n])
+        np.logical_not(separator[raw], out=inside[:n])
         inside[n] = False
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -91,7 +91,7 @@ class Words:
         after_edge[n] = False
         self.end = np.flatnonzero(inside & after_edge) + 1
         self.bound = np.searchsorted(self.start, offsets)
-        self.hash = self._hashes(LOWER[raw]) if hashes else None
+        self.hash = self._hashes(LOWER[raw])
 
     def _hashes(self, low: np.ndarray) -> np.ndarray:
         n = len(low)
