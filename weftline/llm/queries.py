@@ -29,6 +29,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.quality import quality_scores
 
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_decontaminate": op2_decontaminate,
+        "op3_pii": op3_pii,
         "op6_quality": op6_quality,
         "op9_minhash": op9_minhash,
         "op10_packing": op10_packing,
