@@ -35,6 +35,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.warc import read_archives, write_archives
+
+    out = work_dir(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), out)
+    return read_archives(spark, out)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.quality import quality_scores
 
@@ -58,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_decontaminate": op2_decontaminate,
         "op3_pii": op3_pii,
+        "op5_warc": op5_warc,
         "op6_quality": op6_quality,
         "op9_minhash": op9_minhash,
         "op10_packing": op10_packing,
