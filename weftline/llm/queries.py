@@ -49,6 +49,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.covertree import cosine_links
+
+    return cosine_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.minhash import Scheme, near_duplicates
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op5_warc": op5_warc,
         "op6_quality": op6_quality,
+        "op7_cover_tree": op7_cover_tree,
         "op9_minhash": op9_minhash,
         "op10_packing": op10_packing,
     }
