@@ -12,11 +12,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 CACHE_ENTRIES = 1_000_000
 LONGEST_CACHED = 48
+RUN = 256
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -54,7 +56,28 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.dtype.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add the ids of new chunks to the cache.
+
+        Chunks of letters alone are single words to the tokenizer, so many are
+        encoded as one text and told apart by their word numbers.
+        """
+        letters, rest = [], []
+        for c in chunks:
+            (letters if (c.isalpha() if self.lowers else c[:1] == " " and c[1:].isalpha()) else rest).append(c)
+        runs = [letters[k : k + RUN] for k in range(0, len(letters), RUN)]
+        glue, size = (" " if self.lowers else ""), self.dtype.itemsize
+        for run, e in zip(runs, self.tokenizer.encode_batch([glue.join(r) for r in runs], add_special_tokens=False), strict=True):
+            number = np.array(e.word_ids, np.int64)
+            start = np.flatnonzero(np.diff(number, prepend=-1))
+            if len(start) != len(run):
+                rest += run
+                continue
+            raw, at = array(self.dtype.char, e.ids).tobytes(), (np.append(start, len(number)) * size).tolist()
+            self.cache.update(zip(run, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        self.cache.update(zip(rest, self._encode(rest), strict=True))
 
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
@@ -81,7 +104,7 @@ class Encoder:
                 known.clear()
                 missing = list(distinct)
             if missing:
-                known.update(zip(missing, self._encode(missing), strict=True))
+                self._learn(missing)
                 long = [c for c in missing if len(c) > LONGEST_CACHED]
         for i, pieces in split:
             out[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.dtype)
