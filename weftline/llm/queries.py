@@ -35,6 +35,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.warc import read_archives, write_archives
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_decontaminate": op2_decontaminate,
         "op3_pii": op3_pii,
+        "op4_language": op4_language,
         "op5_warc": op5_warc,
         "op6_quality": op6_quality,
         "op7_cover_tree": op7_cover_tree,
