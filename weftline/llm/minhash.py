@@ -234,3 +234,13 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     same = (p.set_a == groups.set_a) & (p.set_b == groups.set_b) & (p.n_shingles == groups.n) & p.doc_id.isNotNull()
     out = p.join(groups, same, "left").select(p.doc_id, p.n_shingles, F.coalesce(groups.group, p.doc_id).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns: of each group of near-duplicates the smallest id stays, once."""
+    found = near_duplicates(docs, scheme, id_col, text_col)
+    gone = save(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), work_dir(docs.sparkSession, "minhash-gone"))
+    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    if docs.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").limit(1).count():
+        left = left.withColumn("__text", F.xxhash64(F.col(f"`{text_col}`"))).dropDuplicates([id_col, "__text"]).drop("__text")
+    return left

@@ -234,3 +234,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     model = fit(measured, label, settings)
     scored = measured.mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label_col: str = "quality", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier accepts.
+
+    Statistics are measured twice, for fitting and for judging, so that texts needn't be joined to scores.
+    """
+    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(~held_out())
+    model = fit(measure(docs, text_col=text_col), label, settings)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.score(statistics(raw, offsets)) >= settings.threshold for _, _, raw, offsets in text_slices(batch.column(place))]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)

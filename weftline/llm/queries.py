@@ -61,6 +61,12 @@ def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.runindex import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.minhash import Scheme, near_duplicates
 
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op6_quality": op6_quality,
         "op7_cover_tree": op7_cover_tree,
+        "op8_run_index": op8_run_index,
         "op9_minhash": op9_minhash,
         "op10_packing": op10_packing,
     }
