@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COMBINE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,14 +40,14 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        m = 1 << max(16, (n - 1).bit_length())
+        m = 1 << max(19, (n - 1).bit_length())
         out = np.empty(m, np.uint64)
         out[0] = 1
         k = 1
         while k < m:
             out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
             k *= 2
-        if m <= 1 << 22:
+        if m <= 1 << 21:
             _powers[base] = out
         have = out
     return have[:n]

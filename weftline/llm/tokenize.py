@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 48
 RUN = 256
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
