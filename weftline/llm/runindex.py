@@ -17,8 +17,9 @@ A byte goes if some ``length``-byte string over it starts anywhere else, too.
     position before, so matching statistics are streamed along the text from
     sample to sample.  Positions whose statistic reaches ``length`` are marked.
 4.  An anchor with more different segments than a block should hold (a line that
-    a third of all documents share) is resolved by grouping the hashes of its
-    single windows, with partial sums, and without any cap.
+    a third of all documents share) is resolved by grouping hashes, with partial
+    sums and without any cap: of blocks of its windows first, then of the parts
+    and windows of those blocks that can repeat in part only.
 5.  Marks go back to the documents through the segments, are merged and cut out.
 
 Defined cases: a null or empty text, and one shorter than ``length``, keeps all
@@ -218,27 +219,94 @@ def _index_block(s: Settings):
     return run
 
 
-def _window_hashes(s: Settings):
-    """Hashes of the single windows of segments."""
+WINDOW_BLOCKS = "anchor long, seg long, k int, n int, u long, c long, parts array<struct<k:int, n:int, u:long, c:long, w:array<long>>>"
+WIDE, NARROW = 16, 4
+
+
+def _window_blocks(s: Settings):
+    """The windows of segments in blocks of WIDE, each in parts of NARROW, aligned to the anchor.
+
+    ``u`` is the hash of all that a block spans: if that repeats, all its windows do.  ``c`` is the
+    hash of what all windows of a full block share: if that doesn't repeat, none of them does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchor, seg = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, raw, offsets in text_slices(batch.column(2), 1 << 18):
+            for lo, hi, raw, offsets in text_slices(batch.column(2), 1 << 17):
                 total = np.zeros(len(raw) + 1, np.uint64)
                 np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=total[1:])
+                inverse = powers(_BASE_INV, len(raw) + 1)
+
+                def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                    return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64)  # noqa: B023
+
                 count = np.diff(offsets) - s.length + 1
                 row = np.repeat(np.arange(hi - lo), count)
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = offsets[row] + k
-                h = mix((total[start + s.length] - total[start]) * powers(_BASE_INV, len(raw))[start])
+                # the anchor is where the k-mer of that hash stands first
+                at = np.arange(len(raw) - s.kmer + 1)
+                owner = np.searchsorted(offsets, at, "right") - 1
+                found = at[mix((total[at + s.kmer] - total[at]) * inverse[at]) == anchor[lo + owner].view(np.uint64)]
+                place = np.full(hi - lo, len(raw))
+                np.minimum.at(place, np.searchsorted(offsets, found, "right") - 1, found)
+
+                def blocks(width: int) -> tuple[np.ndarray, ...]:
+                    block = (offsets[row] + k - place[row]) // width  # noqa: B023
+                    new = np.ones(len(k), bool)  # noqa: B023
+                    new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])  # noqa: B023
+                    first = np.flatnonzero(new)
+                    n = np.diff(np.append(first, len(k)))  # noqa: B023
+                    start, core = offsets[row[first]] + k[first], place[row[first]] + block[first] * width  # noqa: B023
+                    return first, n, of(start, start + n - 1 + s.length), of(core + width - 1, core + s.length)
+
+                first, n, u, c = blocks(WIDE)
+                first4, n4, u4, c4 = blocks(NARROW)
+                w = of(offsets[row] + k, offsets[row] + k + s.length)
+                inner = pa.StructArray.from_arrays(
+                    [pa.array(k[first4].astype(np.int32)), pa.array(n4.astype(np.int32)), pa.array(u4), pa.array(c4), pa.ListArray.from_arrays(pa.array(np.append(first4, len(k)).astype(np.int32)), pa.array(w))],
+                    names=["k", "n", "u", "c", "w"],
+                )
+                parts = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first4, first), len(first4)).astype(np.int32)), inner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[lo + row]), pa.array(seg[lo + row]), pa.array(k.astype(np.int32)), pa.array(h.view(np.int64))], names=["anchor", "seg", "k", "h"]
+                    [pa.array(anchor[lo + row[first]]), pa.array(seg[lo + row[first]]), pa.array(k[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(u), pa.array(c), parts],
+                    names=["anchor", "seg", "k", "n", "u", "c", "parts"],
                 )
 
     return run
 
 
+def _repeated(rows: DataFrame, value: str, path: str) -> DataFrame:
+    """(an, of): values that occur more than once under an anchor."""
+    return save(rows.groupBy("anchor", value).count().where("count > 1").select(F.col("anchor").alias("an"), F.col(value).alias("of")), path)
+
+
+def _resolve_blocks(rows: DataFrame, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Marks of the blocks that repeat as a whole, and the blocks that may repeat in part.
+
+    One of each kind of whole block stays with the latter, for the others to be held against.
+    """
+    same = lambda value: (F.col("anchor") == F.col("an")) & (F.col(value) == F.col("of"))
+    whole = _repeated(rows, "u", f"{folder}/{name}-u")
+    resolved = rows.join(whole, same("u"), "left_semi")
+    marks = resolved.select("anchor", "seg", F.col("k").alias("a"), (F.col("k") + F.col("n") - 1).alias("b"))
+    if "c" not in rows.columns:
+        return marks, rows
+    partly = _repeated(rows, "c", f"{folder}/{name}-c")
+    return marks, rows.join(whole, same("u"), "left_anti").join(partly, same("c"), "left_semi").union(resolved.dropDuplicates(["anchor", "u"]))
+
+
+def hot_marks(texts: DataFrame, s: Settings, folder: str) -> DataFrame:
+    """MARKS of segments of anchors with any number of different segments, by hashes of ever smaller blocks."""
+    rows = save(texts.mapInArrow(_window_blocks(s), WINDOW_BLOCKS), f"{folder}/blocks")
+    wide, rest = _resolve_blocks(rows, "wide", folder)
+    rest = save(rest.select("anchor", "seg", F.explode("parts").alias("p")).select("anchor", "seg", "p.*"), f"{folder}/parts")
+    narrow, rest = _resolve_blocks(rest, "narrow", folder)
+    single = rest.select("anchor", "seg", F.col("k").alias("k0"), F.posexplode("w").alias("i", "u")).select("anchor", "seg", (F.col("k0") + F.col("i")).alias("k"), F.lit(1).alias("n"), "u")
+    last, _ = _resolve_blocks(save(single, f"{folder}/windows"), "single", folder)
+    return wide.union(narrow).union(last)
+
+
 def _cut_segments(s: Settings):
     """Texts of segments out of whole texts: (row, text, wanted) -> (anchor, seg, hot, text)."""
 
@@ -314,9 +382,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
     cold = texts.where("not hot").select("anchor", "seg", "text", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block"))
     cold = cold.groupBy("block").applyInArrow(_index_block(s), MARKS)
 
-    windows = texts.where("hot").select("anchor", "seg", "text").mapInArrow(_window_hashes(s), "anchor long, seg long, k int, h long")
-    often = save(windows.groupBy("anchor", "h").count().where("count > 1").select(F.col("anchor").alias("an"), F.col("h").alias("hh")), f"{folder}/windows")
-    hot = windows.join(often, (F.col("anchor") == F.col("an")) & (F.col("h") == F.col("hh"))).select("anchor", "seg", F.col("k").alias("a"), F.col("k").alias("b"))
+    hot = hot_marks(texts.where("hot").select("anchor", "seg", "text"), s, folder)
 
     marks = whole.union(cold).union(hot).groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     marks = save(marks.select(F.col("anchor").alias("m_anchor"), F.col("seg").alias("m_seg"), "marks"), f"{folder}/marks")
