@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from difflib import get_close_matches
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,6 +101,34 @@ def resolve_exact(mentions: DataFrame, names: DataFrame, column: str = "mention"
     return mentions.withColumn("__key", tx.normalise_name(column)).join(known, "__key", "left").drop("__key")
 
 
+class Closest:
+    """The best match of at least ``cutoff`` among fixed names, by the ratio of matching blocks.
+
+    Lengths and letter counts bound the ratio from above, so that few names are compared in full.
+    """
+
+    def __init__(self, names: list[str], cutoff: float):
+        self.cutoff = cutoff
+        self.names = sorted((len(n), n, Counter(n)) for n in names)
+
+    def __call__(self, word: str) -> str | None:
+        n, letters, best = len(word), Counter(word), None
+        matcher = SequenceMatcher()
+        matcher.set_seq2(word)
+        for m, name, have in self.names:
+            if 2 * min(n, m) < self.cutoff * (n + m):
+                if m > n:
+                    break
+                continue
+            if 2 * (letters & have).total() < self.cutoff * (n + m):
+                continue
+            matcher.set_seq1(name)
+            found = (matcher.ratio(), name)
+            if found[0] >= self.cutoff and (best is None or found > best):
+                best = found
+        return best[1] if best else None
+
+
 def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column: str = "mention") -> DataFrame:
     """Exact matches, and else the closest name of at least ``cutoff``, by matching blocks.
 
@@ -112,9 +141,9 @@ def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column:
     known = {r[0]: r[1] for r in rows}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        closest = Closest(list(known), cutoff)
         for batch in batches:
-            found = [get_close_matches(k, known, n=1, cutoff=cutoff) for k in batch["fuzzy_key"]]
-            yield pd.DataFrame({"fuzzy_key": batch["fuzzy_key"], "fuzzy": [known[f[0]] if f else None for f in found]})
+            yield pd.DataFrame({"fuzzy_key": batch["fuzzy_key"], "fuzzy": [known.get(closest(k)) for k in batch["fuzzy_key"]]})
 
     exact = resolve_exact(mentions, names, column)
     key = tx.normalise_name(column)

@@ -492,7 +492,7 @@ def resolve_fuzzy(spark, d):
 @query("company_mentions")
 def company_mentions(spark, d):
     docs = views.announcements(spark, d)
-    names = docs.select(F.explode(tx.spans("text", 1)).alias("name")).groupBy("name").count().where("count >= 20").select("name", F.col("name").alias("ticker"))
+    names = docs.select(F.explode(tx.spans("text", 1)).alias("name")).groupBy("name").count().where("count >= 60").select("name", F.col("name").alias("ticker"))
     return news.mentions(docs, names, "news_id", cutoff=0.9, most=1)
 
 
