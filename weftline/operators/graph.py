@@ -192,7 +192,8 @@ def betweenness(edges: DataFrame, node: DataFrame, inverse: bool = False) -> Dat
             for source in batch["id"]:
                 for v, x in _dependencies(source, out).items():
                     total[v] = total.get(v, 0.0) + x
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+            if total:
+                yield pd.DataFrame({"id": list(total), "part": list(total.values())})
 
     spread = max(1, min(n, 4 * node.sparkSession.sparkContext.defaultParallelism))
     parts = ids.repartition(spread, "id").mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))

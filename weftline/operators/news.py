@@ -143,12 +143,14 @@ def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closest = Closest(list(known), cutoff)
         for batch in batches:
-            yield pd.DataFrame({"fuzzy_key": batch["fuzzy_key"], "fuzzy": [known.get(closest(k)) for k in batch["fuzzy_key"]]})
+            found = [(k, known[m]) for k, m in ((k, closest(k)) for k in batch["fuzzy_key"]) if m is not None]
+            if found:
+                yield pd.DataFrame(found, columns=["fuzzy_key", "fuzzy"])
 
     exact = resolve_exact(mentions, names, column)
     key = tx.normalise_name(column)
     rest = exact.where("ticker is null").select(key.alias("fuzzy_key")).where("fuzzy_key is not null").distinct()
-    fuzzy = rest.mapInPandas(run, "fuzzy_key string, fuzzy string").where("fuzzy is not null")
+    fuzzy = rest.mapInPandas(run, "fuzzy_key string, fuzzy string")
     out = exact.withColumn("__key", key).join(fuzzy, F.col("__key") == F.col("fuzzy_key"), "left")
     return out.withColumn("ticker", F.coalesce("ticker", "fuzzy")).drop("__key", "fuzzy_key", "fuzzy")
 

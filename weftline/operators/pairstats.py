@@ -80,8 +80,8 @@ def over_pairs(pairs: DataFrame, kernel: Callable, schema: str, keep: tuple[str,
                 got = kernel(*_common(row))
                 if got is not None:
                     rows.append((row.a, row.b, *(getattr(row, k) for k in keep), *got))
-            names = [x.split()[0] for x in schema.split(",")]
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(",")])
 
     parallel = pairs.sparkSession.sparkContext.defaultParallelism
     return pairs.repartition(4 * parallel, "a", "b").mapInPandas(run, schema)
