@@ -239,3 +239,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["date"], r["news_count"]) for r in spark.table("days").collect()} == {(D[0], 2), (dt.date(2024, 1, 9), 1)}
+
+
+def test_planned_operators_raise(spark):
+    from weftline.operators import planned
+
+    none = spark.createDataFrame([], ann.DOCUMENT)
+    for call in (lambda: planned.run_backtest(none, none), lambda: planned.performance_metrics(none, none), lambda: planned.information_content(none), lambda: planned.fetch_documents("news")):
+        with pytest.raises(NotImplementedError):
+            call()
+    assert ann.extract_relations(none).columns == ["src", "dst", "relation", "confidence"] and ann.extract_relations(none).count() == 0
