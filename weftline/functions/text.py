@@ -51,12 +51,16 @@ def normalise_name(name: Column | str) -> Column:
 
 
 def spans(text: Column | str, most: int = 4) -> Column:
-    """All runs of 1 to ``most`` white-space words that begin with an upper-case letter."""
+    """All runs of 1 to ``most`` white-space words that begin with an upper-case letter.
+
+    The words are bound once; inside the lambdas they would be split anew for each position.
+    """
     w = F.filter(F.split(F.coalesce(_col(text), F.lit("")), r"\s+"), lambda x: x != "")
-    of = lambda n: F.when(
+    of = lambda w, n: F.when(
         F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
     ).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.flatten(F.array(*[of(n) for n in range(1, most + 1)])), lambda s: s.rlike(r"^\p{Lu}"))
+    runs = lambda w: F.filter(F.flatten(F.array(*[of(w, n) for n in range(1, most + 1)])), lambda s: s.rlike(r"^\p{Lu}"))
+    return F.transform(F.array(w), runs)[0]
 
 
 def bucket(word: Column, size: int = 512) -> Column:

@@ -11,7 +11,7 @@ from weftline.functions import text as tx
 from weftline.operators import correlation, graph, models, news, pairstats, panel, propagation
 from weftline.plans import sql, views
 from weftline.sources import announcements as ann
-from weftline.sources.universe import universe
+from weftline.sources.universe import names, universe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,9 +303,9 @@ def walk_forward_gate(spark, d):
 def _news(spark, d) -> DataFrame:
     """A daily signal for the brands, from the documents, on the panel's dates."""
     p = views.weekly_prices(spark, d)
-    days, names = panel.calendar(p).withColumnRenamed("date", "day"), panel.tickers(p).withColumnRenamed("ticker", "brand")
+    days, brands = panel.calendar(p).withColumnRenamed("date", "day"), panel.tickers(p).withColumnRenamed("ticker", "brand")
     docs = views.announcements(spark, d).withColumn("polarity", tx.polarity("text", POSITIVE, NEGATIVE))
-    rows = docs.join(days, F.col("news_id") % 300 == F.col("day_idx")).join(names, F.col("news_id") % 25 == F.col("ord"))
+    rows = docs.join(days, F.col("news_id") % 300 == F.col("day_idx")).join(brands, F.col("news_id") % 25 == F.col("ord"))
     return news.daily_signal(rows.select(F.col("brand").alias("ticker"), F.col("day").alias("date"), "polarity"))
 
 
@@ -493,15 +493,13 @@ def resolve_exact(spark, d):
 
 @query("resolve_fuzzy")
 def resolve_fuzzy(spark, d):
-    wanted = spark.createDataFrame([(x,) for x in ("tatamotors", "Tata Motors Ltd", "reliance", "Infosys Limited", "Asian Paint", "nobody")], "mention string")
-    return news.resolve(wanted, universe(spark))
+    wanted = views.announcements(spark, d).select(F.explode(tx.spans("text")).alias("mention")).distinct()
+    return news.resolve(wanted, names(universe(spark)))
 
 
 @query("company_mentions")
 def company_mentions(spark, d):
-    docs = views.announcements(spark, d)
-    names = docs.select(F.explode(tx.spans("text", 1)).alias("name")).groupBy("name").count().where("count >= 60").select("name", F.col("name").alias("ticker"))
-    return news.mentions(docs, names, "news_id", cutoff=0.9, most=1)
+    return news.mentions(views.announcements(spark, d), names(universe(spark)), "news_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
