@@ -1,11 +1,19 @@
 """Registered queries against brute force over whole small tables."""
 
+import inspect
+import os
 import re
 from difflib import get_close_matches
 
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import models, propagation
 from weftline.plans import catalogue
 from weftline.sources.universe import companies
 
+SF = "/root/testdata/sf0.01"
+
 SUFFIXES = (" limited", " ltd", " ltd.", " corp", " corporation", " inc", " plc")
 
 
@@ -40,3 +48,46 @@ def test_mentions_of_whole_documents(spark, tmp_path):
     pairs = catalogue.QUERIES["resolve_fuzzy"](spark, str(tmp_path)).collect()
     assert len(pairs) == len(set().union(*map(all_spans, texts)))
     assert {r["mention"]: r["ticker"] for r in pairs} == {m: ticker(m) for x in texts for m in all_spans(x)}
+
+
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+@needs_tables
+def test_model_features_hold_all_evidence(spark):
+    train, test = catalogue.model_features(spark, SF)
+    rows = train.union(test)
+    kinds = [f"has_{k}" for k in ("transfer_entropy", "cointegration", "same_group")]
+    seen = rows.agg(*[F.max(k).alias(k) for k in kinds], F.min("has_same_group").alias("least")).first()
+    assert [seen[k] for k in kinds] == [1.0, 1.0, 1.0] and seen["least"] == 0.0
+    # every edge of the small feature matrix is among those of all evidence
+    edge = ["date", "source", "target"]
+    assert catalogue.features(spark, SF).select(edge).exceptAll(rows.select(edge)).isEmpty()
+
+
+@pytest.mark.parametrize("name, columns", [("gbt_direction", 14), ("permutation_importance", 14), ("news_lift", 19)])
+def test_models_are_whole(spark, monkeypatch, name, columns):
+    made = {}
+    data = spark.createDataFrame([(0,)], "x int")
+    monkeypatch.setattr(catalogue, "model_features", lambda *a: (data, data))
+
+    def noted(f, name):
+        def call(*args, **kwargs):
+            found = inspect.signature(f).bind(*args, **kwargs)
+            found.apply_defaults()
+            made.setdefault(name, []).append(found.arguments)
+            return data
+
+        return call
+
+    fits = noted(models.boosted, "fit")
+    monkeypatch.setattr(models, "boosted", fits)
+    monkeypatch.setattr(models, "score", lambda model, df: df)
+    result = data.selectExpr("0.5D as auc")
+    monkeypatch.setattr(models, "auc", lambda *a, **k: result)
+    monkeypatch.setattr(models, "accuracy", lambda *a, **k: data)
+    monkeypatch.setattr(models, "permutation_importance", noted(models.permutation_importance, "deal"))
+    catalogue.QUERIES[name](spark, "")
+    assert {x["rounds"] for x in made["fit"]} == {400} and max(len(x["features"]) for x in made["fit"]) == columns
+    assert all(x["repeats"] == 8 and x["features"] == list(propagation.FEATURES) for x in made.get("deal", []))
+    assert ("deal" in made) == (name == "permutation_importance")

@@ -337,17 +337,18 @@ def auc_exact(spark, d):
     return rounded(models.auc(rounded(features(spark, d)), "edge_weight", "target_up"))
 
 
-def group_features(spark, d, with_news: bool = False) -> DataFrame:
-    """The feature matrix of the group graph alone, kept in a few partitions for repeated passes."""
-    p, node = views.weekly_prices(spark, d).persist(), brand_nodes(spark, d).persist()
-    edges = graph.with_correlation(graph.fold(graph.group_evidence(node)), correlation.correlations(panel.log_returns(p))).persist()
-    ranks = graph.pagerank(edges, node, tolerance=1e-4)
-    return propagation.build_dataset(p, edges, node, SHOCK, news=_news(spark, d) if with_news else None, pagerank=ranks).coalesce(4)
+def model_features(spark, d, with_news: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The feature matrix of all evidence, cointegration with it, before and from SPLIT; kept in a few partitions for repeated passes."""
+    p, node = graph._checkpoint(views.weekly_prices(spark, d), spark), brand_nodes(spark, d).persist()
+    found = brand_evidence(spark, d).unionByName(graph.cointegration_evidence(pairstats.cointegrated_pairs(p)))
+    edges = graph._checkpoint(graph.with_correlation(graph.fold(found), correlation.correlations(panel.log_returns(p))), spark)
+    rows = propagation.build_dataset(p, edges, node, SHOCK, news=_news(spark, d) if with_news else None)
+    return propagation.temporal_split(graph._checkpoint(rows.coalesce(4), spark), SPLIT)
 
 
 @query("logreg_spike")
 def logreg_spike(spark, d):
-    train, test = propagation.temporal_split(panel.spike_labels(group_features(spark, d)).persist(), SPLIT)
+    train, test = (panel.spike_labels(x) for x in model_features(spark, d))
     model = models.logistic(train, list(propagation.FEATURES), "spike", balanced=True)
     scored = models.score(model, test)
     return models.auc(scored, label="spike").crossJoin(models.accuracy(scored, label="spike"))
@@ -355,23 +356,22 @@ def logreg_spike(spark, d):
 
 @query("gbt_direction")
 def gbt_direction(spark, d):
-    train, test = propagation.temporal_split(group_features(spark, d).persist(), SPLIT)
-    scored = models.score(models.boosted(train, list(propagation.FEATURES), "target_up", rounds=20), test)
+    train, test = model_features(spark, d)
+    scored = models.score(models.boosted(train, list(propagation.FEATURES), "target_up"), test)
     return models.auc(scored, label="target_up").crossJoin(models.accuracy(scored, label="target_up"))
 
 
 @query("news_lift")
 def news_lift(spark, d):
-    train, test = propagation.temporal_split(group_features(spark, d, True).persist(), SPLIT)
-    return models.news_lift(train, test, list(propagation.FEATURES), list(propagation.NEWS), rounds=10)
+    train, test = model_features(spark, d, True)
+    return models.news_lift(train, test, list(propagation.FEATURES), list(propagation.NEWS))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    train, test = propagation.temporal_split(group_features(spark, d).persist(), SPLIT)
-    names = ["shock_abs", "source_vol", "edge_weight", "mkt_vol"]
-    model = models.logistic(train, names, "target_up")
-    return models.permutation_importance(model, test, names, "target_up", repeats=2)
+    train, test = model_features(spark, d)
+    model = models.boosted(train, list(propagation.FEATURES), "target_up")
+    return models.permutation_importance(model, test, list(propagation.FEATURES), "target_up")
 
 
 # --- texts ------------------------------------------------------------------------
