@@ -1,10 +1,13 @@
 """Registered queries against brute force over whole small tables."""
 
+import datetime as dt
 import inspect
 import os
 import re
 from difflib import get_close_matches
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,35 @@ def test_models_are_whole(spark, monkeypatch, name, columns):
     assert {x["rounds"] for x in made["fit"]} == {400} and max(len(x["features"]) for x in made["fit"]) == columns
     assert all(x["repeats"] == 8 and x["features"] == list(propagation.FEATURES) for x in made.get("deal", []))
     assert ("deal" in made) == (name == "permutation_importance")
+
+
+def put_prices(spark, folder, series):
+    """Tables whose weekly prices are ``series`` (ticker -> prices, None for a missing week)."""
+    names = list(series)
+    first = dt.datetime(1994, 1, 3)
+    lines = [(k, first + dt.timedelta(weeks=w), float(p), 1.0) for k, t in enumerate(names) for w, p in enumerate(series[t]) if p is not None]
+    spark.createDataFrame(lines, "l_partkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_brand string").write.parquet(f"{folder}/part.parquet")
+
+
+def test_hedges_of_every_pair(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    series = {t: [round(float(x), 2) for x in 50 + rng.random(30) * 10] for t in ("Kilo 1", "Lima 2", "Mike 3", "Oscar 4")}
+    series["Lima 2"][7] = None
+    put_prices(spark, tmp_path, series)
+    got = {}
+    for r in catalogue.QUERIES["kalman_hedge_pairs"](spark, str(tmp_path)).orderBy("a", "b", "date").collect():
+        got.setdefault((r["a"], r["b"]), []).append([r[c] for c in ("alpha", "beta", "spread", "residual")])
+    assert set(got) == set(combinations(sorted(series), 2))
+    for (a, b), rows in got.items():
+        state, cov, want = np.zeros(2), np.ones((2, 2)), []
+        for y, x in zip(series[a], series[b], strict=True):
+            if y is None or x is None:
+                continue
+            h = np.array([1.0, np.log(x)])
+            cov = cov + np.eye(2) * 1e-4 / (1 - 1e-4)
+            spread = np.log(y) - h @ state
+            gain = cov @ h / (h @ cov @ h + 1e-3)
+            state, cov = state + gain * spread, cov - np.outer(gain, h @ cov)
+            want.append([*state, spread, np.log(y) - h @ state])
+        assert np.allclose(rows, want, atol=2e-6)

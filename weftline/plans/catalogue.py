@@ -166,6 +166,15 @@ def kalman_hedge(spark, d):
     return rounded(pairstats.kalman_hedges(views.weekly_prices(spark, d), pair, log=True))
 
 
+@query("kalman_hedge_pairs")
+def kalman_hedge_pairs(spark, d):
+    """Every pair of tickers; ``kalman_hedge`` is the one pair that its recursive SQL follows."""
+    p = views.weekly_prices(spark, d)
+    a = panel.tickers(p).select(F.col("ticker").alias("a"))
+    every = a.join(a.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    return rounded(pairstats.kalman_hedges(p, every, log=True))
+
+
 # --- graphs --------------------------------------------------------------------
 
 
