@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import models, propagation
+from weftline.functions import kernels
+from weftline.operators import graph, models, propagation
 from weftline.plans import catalogue
 from weftline.sources.universe import companies
 
@@ -126,3 +127,46 @@ def test_hedges_of_every_pair(spark, tmp_path):
             state, cov = state + gain * spread, cov - np.outer(gain, h @ cov)
             want.append([*state, spread, np.log(y) - h @ state])
         assert np.allclose(rows, want, atol=2e-6)
+
+
+def test_full_graphs_of_windows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    common = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 80)))
+    series = {"B 1": common, "B 2": common * (1 + rng.normal(0, 0.004, 80)), "B 8": 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 80)))}
+    put_prices(spark, tmp_path, {t: [round(float(x), 2) for x in v] for t, v in series.items()})
+    weeks = [dt.date(1994, 1, 3) + dt.timedelta(weeks=k) for k in range(80)]
+    prices = {t: {w: round(float(x), 2) for w, x in zip(weeks, v, strict=True)} for t, v in series.items()}
+    got = {}
+    for r in catalogue.QUERIES["rolling_graph_full"](spark, str(tmp_path)).collect():
+        got.setdefault(r["as_of"], {})[r["src"], r["dst"]] = (set(r["kinds"].split(",")), r["weight"])
+    want = {}
+    for end in (52, 65, 78):
+        found = want.setdefault(weeks[end], {})
+        put = lambda a, b, kind, w: found.setdefault((a, b), []).append((kind, w))  # noqa: B023, E731
+        window = weeks[end - 51 : end + 1]
+        p = {t: np.array([v[w] for w in window]) for t, v in prices.items()}
+        r = {t: np.array([np.log(v[w] / v[w - dt.timedelta(weeks=1)]) for w in window]) for t, v in prices.items()}
+        for a, b in (("B 1", "B 8"), ("B 8", "B 1")):  # both are of group G1
+            put(a, b, "same_group", 1.0)
+        for a, b in combinations(sorted(series), 2):
+            if (x := kernels.engle_granger_p(p[a], p[b])) <= 0.05:
+                put(a, b, "cointegration", 1 - x)
+                put(b, a, "cointegration", 1 - x)
+            both = kernels.te_significance(r[a], r[b], 4, 200, 42), kernels.te_significance(r[b], r[a], 4, 200, 42)
+            (te, x), s, t = (both[0], a, b) if both[0][0] >= both[1][0] else (both[1], b, a)
+            if x <= 0.05:
+                put(s, t, "transfer_entropy", te)
+    assert set(got) == set(want)
+    for day, edges in want.items():
+        assert {k: v[0] for k, v in got[day].items()} == {k: {x for x, _ in v} for k, v in edges.items()}
+        assert all(abs(got[day][k][1] - sum(w for _, w in v)) < 1e-9 for k, v in edges.items())
+    assert any("cointegration" in k for day in got.values() for k, _ in day.values())
+
+
+@needs_tables
+def test_statistical_graph_keeps_all_surrogates(spark, monkeypatch):
+    seen = []
+    keep = graph.pairstats.significant_te_pairs
+    monkeypatch.setattr(graph.pairstats, "significant_te_pairs", lambda rows, alpha, bins, n, seed: seen.append(n) or keep(rows, alpha, bins, n, seed))
+    catalogue.QUERIES["statistical_graph"](spark, SF.replace("sf0.01", "sf0.001"))
+    assert seen == [200]

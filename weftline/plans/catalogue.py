@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.config import DEFAULTS
 from weftline.functions import text as tx
 from weftline.operators import correlation, graph, models, news, pairstats, panel, propagation
 from weftline.plans import sql, views
@@ -22,6 +24,8 @@ SHOCK = 1.0
 RHO = 0.1
 TE = 0.055
 SPLIT = "1996-06-03"
+#: 52 weeks are the year that 252 days are; no window of them has the 250 observations of a daily panel
+YEAR = replace(DEFAULTS, min_obs=40)
 POSITIVE, NEGATIVE = ["the", "of", "der", "la"], ["and", "to", "die", "de"]
 
 
@@ -252,10 +256,32 @@ def rolling_graph_corr(spark, d):
     return rounded(graph.rolling_correlation_edges(p, graph.grid(p, 52, 13), 52, RHO))
 
 
+def full_edges(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", "weight", graph.kinds().alias("kinds"), "corr")
+
+
+@query("graph_asof_full")
+def graph_asof_full(spark, d):
+    """All evidence of the window of ``graph_asof_corr``."""
+    p = graph._checkpoint(views.weekly_prices(spark, d), spark)
+    _, edges = graph.graph_as_of(p, views.brand_universe(spark, d), SPLIT, 52, YEAR)
+    return full_edges(edges).select(F.lit(SPLIT).cast("date").alias("as_of"), "*")
+
+
+@query("rolling_graph_full")
+def rolling_graph_full(spark, d):
+    """All evidence of every window of ``rolling_graph_corr``; each graph is kept before the next is made."""
+    p, brands = graph._checkpoint(views.weekly_prices(spark, d), spark), views.brand_universe(spark, d).persist()
+    out = spark.createDataFrame([], "as_of date, src string, dst string, weight double, kinds string, corr double")
+    for as_of, _, edges in graph.rolling_graphs(p, brands, 52, 13, YEAR):
+        out = out.union(graph._checkpoint(full_edges(edges).select(F.lit(as_of).cast("date").alias("as_of"), "*"), spark))
+    return out
+
+
 @query("statistical_graph")
 def statistical_graph(spark, d):
     p = views.weekly_prices(spark, d)
-    _, edges = graph.statistical_graph(p, panel.log_returns(p), views.brand_universe(spark, d), surrogates=50)
+    _, edges = graph.statistical_graph(p, panel.log_returns(p), views.brand_universe(spark, d))
     return edges.select("src", "dst", "weight", graph.kinds().alias("kinds"), "corr")
 
 
