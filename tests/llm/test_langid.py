@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from weftline.llm.langid import languages
 
 WORDS = {"en": "the and with shall thing river under", "de": "der und nicht schon über straße wäre", "fr": "le les avec être même toujours où"}
@@ -29,3 +31,18 @@ def test_empty_tables(spark):
     assert languages(none, docs).collect() == []
     one = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>", 1, "x")], PAGES)
     assert languages(one, spark.createDataFrame([], DOCS)).first()["language"] is None
+
+
+def test_every_language_has_a_model(spark):
+    from weftline.llm.langid import Settings, text_models
+
+    words = {f"l{k:02d}": f"{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(70)}
+    docs = [(k, lang, " ".join([w] * 20)) for k, (lang, w) in enumerate(words.items())]
+    pages = [(k, f"http://h{k}.example/", f"<p>{' '.join([w] * 60)}</p>", 1, "x") for k, w in enumerate(words.values())]
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r["page_id"]: r["text_language"] for r in languages(spark.createDataFrame(pages, PAGES), df).collect()}
+    assert got == dict(enumerate(words))
+    # a rare language keeps its rows beside one with far more than the sample
+    many = df.union(spark.range(1000, 5000).selectExpr("id as doc_id", "'big' as lang", "'qqq qqq' as text"))
+    names, model = text_models(many, Settings(sample=50))
+    assert names == sorted([*words, "big"]) and (np.ptp(model, axis=1) > 0).all()

@@ -12,8 +12,8 @@ The posterior of a page's language is the product of
 
 All counts are sums of text posteriors over every page, by grouped aggregation;
 nothing is collected but the models.  The text models are fitted on about
-``sample`` labelled documents (chosen by the hash of the id) and hold 2**bits
-counts for each language.
+``sample`` labelled documents of each language, or all that it has (chosen by
+the hash of the id), and hold 2**bits counts for each language.
 
 Defined cases: null or empty html gives no text evidence, so that the other
 evidence decides; a null or odd url has the empty host; a missing declaration is
@@ -39,8 +39,7 @@ from weftline.llm.textkit import LOWER, text_slices
 @dataclass(frozen=True)
 class Settings:
     bits: int = 14
-    sample: int = 20_000
-    languages: int = 64
+    sample: int = 20_000  # documents of each language
     temper: float = 0.1  # weight of a trigram's log-likelihood
     host_weight: float = 4.0  # pages that a domain's prior counts for in its hosts
     domain_weight: float = 16.0
@@ -87,11 +86,13 @@ def _count(bits: int, languages: list[str]):
 def text_models(docs: DataFrame, s: Settings, parts: int = 8) -> tuple[list[str], np.ndarray]:
     """Languages, and (language, bucket) log-probabilities."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("at"))
-    by = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
-    languages, n = sorted(r[0] for r in by), sum(r[1] for r in by)
+    by = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    languages = sorted(by)
     if not languages:
         return [], np.zeros((0, 1 << s.bits))
-    some = rows.where(F.col("lang").isin(languages) & (F.col("at") <= int(min(1.0, s.sample / n) * (1 << 30)))).select("lang", "text").repartition(parts)
+    # the share of a language that makes ``sample`` of its documents
+    most = F.create_map(*[F.lit(v) for x, n in by.items() for v in (x, int(min(1.0, s.sample / n) * (1 << 30)))])
+    some = rows.where(F.col("at") <= most[F.col("lang")]).select("lang", "text").repartition(parts)
     total = np.zeros(len(languages) << s.bits)
     for r in some.mapInArrow(_count(s.bits, languages), "counts binary").collect():  # at most ``parts`` of a fixed size
         total += np.frombuffer(r[0])
