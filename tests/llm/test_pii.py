@@ -66,3 +66,16 @@ def test_redact_replaces_spans_and_keeps_columns(spark):
 
 def test_an_empty_table(spark):
     assert personal_data(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    # values of each step stand in its contexts and in those of the next step; only the first are phones by pattern
+    docs, last = [], {}
+    for step, n in enumerate((64, 16, 4, 1)):
+        for k in range(n):
+            value = f"+1 (555) 555-01{k:02d}" if step == 0 else f"{step}x{k}" + "q" * (70 if k == 0 else 2)
+            for at in "abcde"[step : step + 2]:
+                docs.append((len(docs), f"lead{at} {value} tail{at}", "", 0, ""))
+                last[docs[-1][0]] = f"phone:6:{6 + len(value)}"
+    got = {r["doc_id"]: r["spans"] for r in personal_data(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == last

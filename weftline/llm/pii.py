@@ -9,8 +9,9 @@ with a digit or an ``@`` (*candidates*), are patterns, and form a graph of
 patterns and instances.  Each round scores a pattern by the share and number of
 known instances of one kind among all instances it stands beside, and then a
 candidate by the patterns that passed; candidates of high confidence under
-several patterns become instances of that kind and take part in the next round.
-Their places are added to the spans; spans of the fixed patterns always stay.
+several patterns become instances of that kind for good and take part in the next
+round, until a round adds none.  Their places are added to the spans; spans of
+the fixed patterns always stay.
 
 The possessive forms below match what the plain ones do, but in linear time and
 without recursion, so very long texts and runs are safe.
@@ -23,6 +24,7 @@ gives an empty result; other columns are ignored (or, in :func:`redact`, kept).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 BLOCK = 128
 CONTEXT_CHARS = 40
+LONG = 64  # longer candidates are known by their hash
 SPAN = "struct<s:int,e:int,v:string,l:string,r:string>"
 
 
@@ -62,7 +65,7 @@ RULES = {
     "ip": (IP, r"text rlike '[0-9]\\.[0-9]'", _byte_parts),
     "card": (CARD, "text rlike '[0-9]'", _luhn),
     "phone": (PHONE, "contains(text, '+')", lambda v: f"length({_digits(v)}) between 10 and 15"),
-    "": (CANDIDATE, "text rlike '[0-9@]'", lambda v: f"length({v}) between 4 and 64"),
+    "": (CANDIDATE, "text rlike '[0-9@]'", lambda v: f"length({v}) >= 4"),
 }
 
 
@@ -89,7 +92,6 @@ def located(pattern: str, sign: str, accept) -> F.Column:
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 2
     least_instances: int = 3  # different known values beside a pattern
     pattern_confidence: float = 0.8
     least_patterns: int = 2  # different patterns beside a candidate
@@ -104,6 +106,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     tagged = [f"transform(`__{k}`, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, 'v', x.v, 'l', x.l, 'r', x.r))" for i, k in enumerate(KINDS)]
     out = docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(tagged)}))"))
     out = out.withColumn("candidates", F.expr("if(size(`__other`) = 0, `__other`, filter(`__other`, x -> not exists(base, y -> y.s < x.e and x.s < y.e)))"))
+    key = f"if(length(x.v) > {LONG}, sha2(x.v, 256), x.v)"
+    out = out.withColumn("candidates", F.expr(f"transform(candidates, x -> named_struct('s', x.s, 'e', x.e, 'v', {key}, 'l', x.l, 'r', x.r))"))
     return out.drop("__other", *[f"__{k}" for k in KINDS])
 
 
@@ -119,8 +123,8 @@ def _edges(found: DataFrame) -> DataFrame:
 def discovered(found: DataFrame, s: Settings, folder: str) -> DataFrame:
     """(v, kind) of candidate values that the bootstrapping accepts."""
     edges = save(_edges(found), f"{folder}/edges")
-    known = None
-    for k in range(s.rounds):
+    known, size = None, 0
+    for k in count():
         e = edges
         if known is not None:
             e = edges.join(known.withColumnRenamed("kind", "learned"), "v", "left").select("pattern", "v", F.coalesce("kind", "learned").alias("kind"))
@@ -131,9 +135,15 @@ def discovered(found: DataFrame, s: Settings, folder: str) -> DataFrame:
         passed = save(scored.where((F.col("seen") >= s.least_instances) & (F.col("confidence") >= s.pattern_confidence)), f"{folder}/patterns-{k}")
         votes = edges.where("kind is null").join(passed, "pattern").groupBy("v", "as").agg(F.count(F.lit(1)).alias("n"), (1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
         votes = votes.where((F.col("n") >= s.least_patterns) & (F.col("score") >= s.instance_confidence))
-        known = votes.groupBy("v").agg(F.max(F.struct("score", (-F.col("as")).alias("at"))).alias("b")).select("v", (-F.col("b.at")).alias("kind"))
+        before, known = known, votes.groupBy("v").agg(F.max(F.struct("score", (-F.col("as")).alias("at"))).alias("b")).select("v", (-F.col("b.at")).alias("kind"))
+        if before is not None:
+            known = before.union(known.join(before, "v", "left_anti"))
         known = save(known, f"{folder}/known-{k}")
-    return known
+        # known values only grow, so an equal number is an equal set
+        n = known.count()
+        if n == size:
+            return known
+        size = n
 
 
 def _with_added(docs: DataFrame, id_col: str, s: Settings, keep: list[str]) -> DataFrame:
