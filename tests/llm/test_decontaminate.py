@@ -69,3 +69,11 @@ def test_passage_bounds_lose_nothing():
             p = (1, a, min(a + 2 * index.stride, end))
             if index.retrieve(np.unique(w.hash[p[1] : p[2]])):
                 assert p in through
+
+
+def test_items_with_a_null_id_count(spark):
+    docs = spark.createDataFrame([(1, f"{sentence(40)} {ITEMS[9][1]} {sentence(40)}", 0, "x"), (2, ITEMS[10][1], 0, "x"), (3, sentence(90), 0, "x")], DOC_SCHEMA)
+    items = spark.createDataFrame([(None, ITEMS[9][1]), (10, ITEMS[10][1]), (None, None), (None, ITEMS[11][1])], ITEM_SCHEMA)
+    for s in (Settings(), Settings(index_bytes=200)):
+        assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items, s).collect()} == {(1, None), (2, 10)}
+        assert [r["doc_id"] for r in remove_contaminated(docs, items, s).collect()] == [3]

@@ -68,8 +68,8 @@ def lower_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 class Index:
     """Postings of test items with impacts relative to each item's threshold."""
 
-    def __init__(self, ids: list[int], texts: list[str], s: Settings):
-        self.s, self.ids = s, np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str], s: Settings):
+        self.s, self.ids = s, ids  # an id may be null
         column = pa.array([t or "" for t in texts], pa.large_string())
         self.words: list[np.ndarray] = []
         self.cut: list[int] = []
@@ -231,7 +231,7 @@ class Index:
 
 def build_indexes(items: DataFrame, s: Settings, id_col: str, text_col: str) -> list[Index]:
     """One index, or as many as keep each within ``index_bytes`` of text."""
-    items = id_and_text(items, id_col, text_col).where(F.col("doc_id").isNotNull())
+    items = id_and_text(items, id_col, text_col)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // s.index_bytes)
     out = []
