@@ -75,3 +75,24 @@ def test_runs_are_fewer_in_repetitive_texts():
     index = RunLengthIndex([text] * 20)
     assert len(index.heads) < len(index.text) / 5
     assert len(index.at_heads) == len(index.at_ends) == len(index.symbols)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(4)
+    piece = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = piece(70)
+    docs = [(1, piece(60) + shared), (1, shared + piece(90)), (1, piece(100)), (2, "x" + shared), (None, piece(80)), (None, piece(80) + shared[:50])]
+    got = remove_repeats(spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], SCHEMA), Settings(length=LENGTH, kmer=12)).collect()
+    want = brute([t.encode() for _, t in docs], LENGTH)
+    assert sorted(map(tuple, got), key=str) == sorted(((d, *w) for (d, _), w in zip(docs, want, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("block", [2, 40])
+def test_a_line_in_very_many_documents(spark, block):
+    rng = random.Random(block)
+    piece = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    line, tails = piece(45), [piece(12) for _ in range(5)]
+    docs = [(k, piece(30) + rng.choice(tails) + line + rng.choice(tails) + piece(30)) for k in range(150)] + [(900, (line + "ab") * 400)]
+    got = remove_repeats(spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], SCHEMA), Settings(length=LENGTH, kmer=12, block_segments=block, symbols=600)).collect()
+    want = brute([t.encode() for _, t in docs], LENGTH)
+    assert sorted(map(tuple, got)) == sorted((d, *w) for (d, _), w in zip(docs, want, strict=True))
