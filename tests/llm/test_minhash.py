@@ -75,3 +75,23 @@ def test_bands_and_bounds():
     for n, least in s.least_matches:
         lost |= trials[:, :n].sum(1) < least
     assert lost.mean() < 0.002
+
+
+def test_rows_of_one_id_are_linked_each_by_its_text(spark):
+    rng = np.random.default_rng(8)
+    a, b = (" ".join(f"w{k}" for k in rng.integers(0, 900, 60)) for _ in range(2))
+    docs = [(1, a), (1, b), (2, b + " tail"), (3, "one " * 3), (3, b + " end"), (None, a), (None, a)]
+    df = spark.createDataFrame([(d, t, "x", d) for d, t in docs], SCHEMA)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect() if r["doc_id"] is not None)
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
+    left = sorted(((r["doc_id"], r["text"]) for r in keep_one(df).collect()), key=str)
+    assert left == sorted([(1, a), (1, b), (3, "one " * 3), (None, a), (None, a)], key=str)
+
+
+def test_large_neighbourhoods_are_compared_bucket_by_bucket(spark):
+    docs = corpus(seed=5, groups=2, copies=70)
+    df = spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], SCHEMA)
+    scheme = Scheme(percent=85, block=2, block_shingles=200)
+    assert scheme.bands < 35
+    got = sorted((tuple(r) for r in near_duplicates(df, scheme).collect()), key=str)
+    assert got == brute(docs, 85)

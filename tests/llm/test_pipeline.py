@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -26,3 +27,24 @@ def test_components_of_a_long_chain(spark, tmp_path):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges, f"file://{tmp_path}/cc").collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_components_of_random_graphs(spark, tmp_path):
+    from weftline.llm.components import components
+
+    rng = random.Random(2)
+    for k, (nodes, count) in enumerate([(200, 150), (80, 300), (300, 260)]):
+        pairs = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)] + [(0, j) for j in range(1, 40)]
+        label = list(range(nodes))
+        for _ in range(nodes):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        used = {x for a, b in pairs if a != b for x in (a, b)}
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), f"file://{tmp_path}/g{k}").collect()}
+        assert got == {x: label[x] for x in used}
+
+
+def test_components_of_no_edges(spark, tmp_path):
+    from weftline.llm.components import components
+
+    assert components(spark.createDataFrame([], "a long, b long"), f"file://{tmp_path}/none").collect() == []

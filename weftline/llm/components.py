@@ -1,8 +1,10 @@
 """Connected components of an edge table by alternating star contractions.
 
 Each round is two groupings (with partial aggregation) and two equi-joins over
-the current edges, written to shared storage, so hubs cost no more than their
-edges and the lineage stays short.  Edges never come to the driver.
+the current edges, written to shared storage, so the lineage stays short.  The
+smallest neighbours are stored before they are joined back, so both sides of a
+join are plain exchanges and adaptive execution can split the edges of a hub.
+Edges never come to the driver.
 """
 
 from __future__ import annotations
@@ -12,17 +14,15 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import drop_path, save
 
-MAX_ROUNDS = 60
 
-
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def _star(pairs: DataFrame, large: bool, path: str) -> DataFrame:
     """One contraction of (a > b) edges: neighbours of a node move to its smallest."""
     if large:
         near = pairs.union(pairs.select(F.col("b"), F.col("a"))).toDF("u", "v")
     else:
         near = pairs.toDF("u", "v")
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    least = save(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), path)
+    joined = near.join(least.withColumnRenamed("u", "of"), F.col("u") == F.col("of"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -30,6 +30,12 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether each node is either a leaf with one edge or a head."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component) for each node of the two-column edge table; component is the smallest node.
 
@@ -37,16 +43,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """
     a, b = edges.columns
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`").distinct()
-    pairs = save(pairs, f"{folder}/pairs-0")
-    measure = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)]
-    before = None
-    for k in range(1, MAX_ROUNDS):
-        pairs = save(_star(_star(pairs, True), False), f"{folder}/pairs-{k}")
-        now = tuple(pairs.agg(*measure).first())
-        drop_path(edges.sparkSession, f"{folder}/pairs-{k - 1}")
-        if now == before or not now[0]:
-            break
-        before = now
-    else:
-        raise RuntimeError("components didn't settle")
+    pairs, k = save(pairs, f"{folder}/pairs-0"), 0
+    while not _settled(pairs):
+        k += 1
+        wide = save(_star(pairs, True, f"{folder}/large-{k}"), f"{folder}/wide-{k}")
+        pairs = save(_star(wide, False, f"{folder}/small-{k}"), f"{folder}/pairs-{k}")
+        for old in (f"pairs-{k - 1}", f"large-{k}", f"wide-{k}", f"small-{k}"):
+            drop_path(edges.sparkSession, f"{folder}/{old}")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
