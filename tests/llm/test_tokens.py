@@ -83,3 +83,57 @@ def test_pack_takes_descending_costs():
 
 def test_packing_of_an_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), BYTE).collect() == []
+
+
+def test_pack_takes_the_cheapest_sequence_with_room():
+    rng = random.Random(7)
+    for _ in range(40):
+        p = Packing(capacity=rng.choice([16, 100]), quadratic=rng.choice([0.0, 0.1]))
+        lengths = [rng.randint(1, 2 * p.capacity + 3) for _ in range(rng.randint(1, 60))]
+        # the same rule over a plain list of all sequences
+        want, n = [], 0
+        for d, size in enumerate(lengths):
+            for k in range(size // p.capacity):
+                want.append((d, k * p.capacity, p.capacity, n, 0))
+                n += 1
+        rest = sorted(((-p.cost(x % p.capacity), d) for d, x in enumerate(lengths) if x % p.capacity))
+        total = sum(lengths[d] % p.capacity for _, d in rest)
+        state = {n + k: [0.0, 0] for k in range(-(-total // p.capacity))}
+        costs = []
+        for _, d in rest:
+            size, start = lengths[d] % p.capacity, lengths[d] // p.capacity * p.capacity
+            while size:
+                fits = [k for k, (_, used) in state.items() if p.capacity - used >= size] or [k for k, (_, used) in state.items() if used < p.capacity]
+                least = min(state[k][0] for k in fits)
+                costs.append((d, start, least))
+                # ties go to the one with the least room, then to the first
+                k = min((k for k in fits if state[k][0] == least), key=lambda k: (p.capacity - state[k][1], k))
+                take = min(size, p.capacity - state[k][1])
+                want.append((d, start, take, k, state[k][1]))
+                state[k] = [state[k][0] + p.cost(take), state[k][1] + take]
+                start, size = start + take, size - take
+        assert pack(np.array(lengths), p) == want
+
+
+def test_a_very_long_text(spark):
+    text = "Wörter and more, 42 times.\n" * 30_000
+    out = work_dir(spark, "t")
+    write_token_files(spark.createDataFrame([(1, text, 0), (2, "short", 0)], SCHEMA), out, WORD, end_id=1)
+    one, two = sorted(tuple(r) for r in read_token_index(spark, out).collect())
+    want = np.array([*ids(WORD, text), 1], "<u4")
+    assert one == (1, 0, len(want), zlib.crc32(want.tobytes())) and two[1] == len(want)
+    rows = pack_documents(spark.createDataFrame([(1, text, 0)], SCHEMA), BYTE, with_ids=True).collect()
+    got = b"".join(bytes(r["ids"]) for r in sorted(rows, key=lambda r: r["start"]))
+    assert got == np.array([*ids(BYTE, text), 0], "<u4").tobytes() and max(r["length"] for r in rows) == 1024
+
+
+def test_an_id_that_fills_several_shards(spark):
+    docs = [(5, f"text {k}", 0) for k in range(60)] + [(None, "none", 0)] * 9 + [(9, "last", 0)]
+    runs = []
+    for parts in (1, 4):
+        out = work_dir(spark, "t")
+        manifest = write_token_files(spark.createDataFrame(docs, SCHEMA).repartition(parts), out, WORD, end_id=1, shard_docs=8)
+        assert len(manifest["shards"]) > 5
+        runs.append((manifest, sorted(tuple(r) for r in read_token_index(spark, out).orderBy("start").collect() if r[0] is not None)))
+    assert runs[0] == runs[1]
+    assert [d for d, *_ in sorted(runs[0][1], key=lambda r: r[1])] == [5] * 60 + [9]

@@ -1,8 +1,10 @@
 import base64
 import hashlib
 
+import pytest
+
 from weftline.llm.common import work_dir
-from weftline.llm.warc import Settings, read_archives, write_archives
+from weftline.llm.warc import Settings, read_archives, records, write_archives
 
 SCHEMA = "page_id long, url string, html string, record_type string, digest int"
 
@@ -35,3 +37,45 @@ def test_an_empty_table(spark):
     out = work_dir(spark, "w")
     write_archives(spark.createDataFrame([], SCHEMA), out)
     assert read_archives(spark, out).collect() == []
+
+
+def test_two_writes_give_the_same_archives(spark):
+    df = spark.range(40_000).selectExpr("id as page_id", "concat('http://h', id % 7, '/', id) as url", "repeat('text ', int(id % 11)) as html")
+    runs = [write_archives(df.repartition(n), work_dir(spark, "w"), Settings(shard_pages=5000)) for n in (2, 3)]
+    assert runs[0] == runs[1] and len(runs[0]["files"]) == 8
+
+
+def test_a_damaged_archive_raises(spark):
+    df = spark.createDataFrame([(k, "u", f"<p>{k}</p>", "x", 1) for k in range(50)], SCHEMA)
+    for harm in (lambda raw: raw[:-20], lambda raw: raw[: len(raw) // 2], lambda raw: raw[:-1] + bytes([raw[-1] ^ 1])):
+        out = work_dir(spark, "w")
+        name = write_archives(df, out)["files"][0]["name"]
+        path = f"{out.removeprefix('file://')}/{name}"
+        with open(path, "rb") as f:
+            raw = f.read()
+        with open(path, "wb") as f:
+            f.write(harm(raw))
+        with pytest.raises(Exception, match="ends within|manifest says|incorrect|invalid"):
+            read_archives(spark, out).collect()
+
+
+def test_whole_members_that_are_missing_raise(spark):
+    df = spark.createDataFrame([(k, "u", f"<p>{k}</p>", "x", 1) for k in range(9)], SCHEMA)
+    out = work_dir(spark, "w")
+    name = write_archives(df, out)["files"][0]["name"]
+    path = f"{out.removeprefix('file://')}/{name}"
+    with open(path, "rb") as f:
+        raw = f.read()
+    with open(path, "wb") as f:
+        f.write(raw[: raw.rindex(b"\x1f\x8b\x08")])
+    with pytest.raises(Exception, match="manifest says"):
+        read_archives(spark, out).collect()
+
+
+def test_dates_from_a_column(spark):
+    df = spark.sql("select 1L as page_id, 'u' as url, 'h' as html, timestamp'2024-05-06 07:08:09' as at union all select 2L, 'u', 'i', null")
+    out = work_dir(spark, "w")
+    name = write_archives(df, out, date_col="at")["files"][0]["name"]
+    with open(f"{out.removeprefix('file://')}/{name}", "rb") as f:
+        dates = {h["WARC-Record-ID"]: h["WARC-Date"] for h, _ in records(f)}
+    assert dates["<urn:page:1>"] == "2024-05-06T07:08:09Z" and dates["<urn:page:2>"] == "2020-01-01T00:00:00Z"

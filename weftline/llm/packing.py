@@ -3,15 +3,17 @@
 The cost of a piece of n tokens is ``linear * n + quadratic * n * n``: the part
 of a step that follows the tokens, and attention.  Whole windows of a long
 document are sequences of their own.  What remains of the documents of a group
-is taken in descending cost, each to the sequence of the lowest cost that has
-room; where none of the next few cheapest holds all of it, it is cut.  A group
+is taken in descending cost, each to the sequence of the lowest cost among all
+that have room for it; where none has, the cheapest open one takes what it can
+and the rest is placed in the same way.  A group
 opens as many sequences as its tokens need, so its padding is under one
 sequence.  A group is a run of rows of one input partition (bounded by tokens),
 so nothing is shuffled, and a lost executor's partitions are packed again alike.
 
 Defined cases: a null or empty text is the end id alone; null, repeated and
-tied document ids are packed row by row; an empty table gives no piece; other
-columns are ignored.
+tied document ids are packed row by row, equal costs in the order of the rows; a
+very long text fills sequences of its own but for its end; an empty table gives no
+piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from weftline.llm.common import id_and_text
-from weftline.llm.tokenize import encoder
+from weftline.llm.tokenize import encoder, encoding_runs
 
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
 WITH_IDS = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())])
-ENCODE_ROWS = 512
-TRIES = 8
 
 
 @dataclass(frozen=True)
@@ -62,26 +62,25 @@ def pack(lengths: np.ndarray, p: Packing) -> list[tuple[int, int, int, int, int]
             rest.append((size % p.capacity, d, whole * p.capacity))
     rest.sort(key=lambda r: (-p.cost(r[0]), r[1]))
     count = -(-sum(r[0] for r in rest) // p.capacity)
-    heap = [(0.0, n + k) for k in range(count)]
-    used = dict.fromkeys((k for _, k in heap), 0)
+    # open sequences by the room they have: heaps of (cost, sequence), and the least cost of each
+    rooms: list[list[tuple[float, int]]] = [[] for _ in range(p.capacity + 1)]
+    least = np.full(p.capacity + 1, np.inf)
+    if count:
+        rooms[p.capacity] = [(0.0, n + k) for k in range(count)]
+        least[p.capacity] = 0.0
     for size, d, start in rest:
-        seen, home = [], None
-        while heap and len(seen) < TRIES:
-            seen.append(heapq.heappop(heap))
-            if p.capacity - used[seen[-1][1]] >= size:
-                home = len(seen) - 1
-                break
-        order = [seen.pop(home)] if home is not None else []
-        for s in seen:
-            heapq.heappush(heap, s)
         while size:
-            cost, k = order.pop() if order else heapq.heappop(heap)
-            take = min(size, p.capacity - used[k])
-            pieces.append((d, start, take, k, used[k]))
-            used[k] += take
+            room = size + int(least[size:].argmin())
+            if least[room] == np.inf:
+                room = 1 + int(least[1:].argmin())
+            cost, k = heapq.heappop(rooms[room])
+            least[room] = rooms[room][0][0] if rooms[room] else np.inf
+            take = min(size, room)
+            pieces.append((d, start, take, k, p.capacity - room))
             start, size = start + take, size - take
-            if used[k] < p.capacity:
-                heapq.heappush(heap, (cost + p.cost(take), k))
+            if take < room:
+                heapq.heappush(rooms[room - take], (cost + p.cost(take), k))
+                least[room - take] = rooms[room - take][0][0]
     return pieces
 
 
@@ -110,8 +109,8 @@ def _packer(path: str, p: Packing, with_ids: bool):
         keys, ids, total = [], [], 0
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(docs), ENCODE_ROWS):
-                for key, got in zip(docs[lo : lo + ENCODE_ROWS], enc.encode_many(texts[lo : lo + ENCODE_ROWS].to_pylist()), strict=True):
+            for lo, hi in encoding_runs(texts):
+                for key, got in zip(docs[lo:hi], enc.encode_many(texts[lo:hi].to_pylist()), strict=True):
                     keys.append(key)
                     ids.append(np.concatenate((got, end)))
                     total += len(got) + 1

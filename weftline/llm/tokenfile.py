@@ -7,7 +7,8 @@ Layout of an output folder::
     shard-00000.doc   n_docs i8 document ids
     manifest.json     width, end id, and for each shard its counts and bases
 
-Documents are range-partitioned, so shard order is document order, and a
+Documents are dealt to range shards whose bounds follow from the ids alone, so
+shard order is document order, a repeated run writes equal files, and a
 document's place in the whole collection is its shard's base (a prefix sum over
 the shards' counts) plus its own offset.  The width is two bytes where the
 vocabulary allows it.  Files are written under temporary names and renamed; a
@@ -16,7 +17,9 @@ last, is what makes a folder complete.
 
 Defined cases: a null or empty text has the end id alone; a null document id is
 kept as the smallest 64-bit integer and read back as null; repeated rows and
-repeated ids each get their own entry, ordered by id and then by text; an empty
+repeated ids each get their own entry, ordered by id and then by text (an id that
+fills shards of its own is dealt to them by a hash of the text, and ordered within
+each); a very long text is encoded by one task, whole; an empty
 table gives a manifest without shards; other columns are ignored.
 """
 
@@ -29,16 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import id_and_text
+from weftline.llm.ranges import SHARD, range_sharded
 from weftline.llm.textkit import crc32_u32
-from weftline.llm.tokenize import encoder
+from weftline.llm.tokenize import encoder, encoding_runs
 
 NULL_ID = -(1 << 63)
-ENCODE_ROWS = 512
 READ_DOCS = 8192
 SHARDS = "shard int, n_docs long, n_tokens long"
 INDEX = T.StructType(
@@ -61,44 +64,63 @@ def _commit(store: pafs.FileSystem, temporary: str, final: str) -> None:
     store.move(temporary, final)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(shard, keys, texts) of bounded runs of rows; the rows of a shard stand together."""
+    for batch in batches:
+        shards = batch.column(0).to_numpy()
+        keys = batch.column(1).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(shards, append=-1)) + 1
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            for lo, hi in encoding_runs(batch.column(2)[a:b]):
+                yield int(shards[a]), keys[a + lo : a + hi], batch.column(2)[a + lo : a + hi].to_pylist()
+
+
+class _ShardFile:
+    def __init__(self, store: pafs.FileSystem, root: str, shard: int):
+        self.store, self.root, self.shard, self.tail = store, root, shard, uuid.uuid4().hex
+        self.out = store.open_output_stream(f"{root}/.{self.tail}.tok")
+        self.counts, self.ids = [np.zeros(1, np.uint64)], []
+
+    def add(self, keys: np.ndarray, got: list[np.ndarray], end: bytes) -> None:
+        self.out.write(b"".join(x for g in got for x in (g.tobytes(), end)))
+        self.counts.append(np.array([len(g) + 1 for g in got], np.uint64))
+        self.ids.append(keys)
+
+    def close(self) -> pa.RecordBatch:
+        self.out.close()
+        offsets = np.cumsum(np.concatenate(self.counts)).astype("<u8")
+        for kind, values in (("off", offsets), ("doc", np.concatenate(self.ids).astype("<i8"))):
+            with self.store.open_output_stream(f"{self.root}/.{self.tail}.{kind}") as f:
+                f.write(values.tobytes())
+        for kind in ("tok", "off", "doc"):
+            _commit(self.store, f"{self.root}/.{self.tail}.{kind}", f"{self.root}/shard-{self.shard:05d}.{kind}")
+        return pa.RecordBatch.from_pydict({"shard": pa.array([self.shard], pa.int32()), "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
+
+
 def _shard_writer(uri: str, tokenizer_path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc = encoder(tokenizer_path)
         store, root = _open(uri)
-        name, tail = f"{root}/shard-{shard:05d}", uuid.uuid4().hex
-        end = np.array([end_id], enc.dtype).tobytes()
-        out, counts, ids = None, [np.zeros(1, np.uint64)], []
-        for batch in batches:
-            keys = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            texts = batch.column(1)
-            for lo in range(0, len(keys), ENCODE_ROWS):
-                if out is None:
-                    out = store.open_output_stream(f"{root}/.{tail}.tok")
-                got = enc.encode_many(texts[lo : lo + ENCODE_ROWS].to_pylist())
-                out.write(b"".join(x for g in got for x in (g.tobytes(), end)))
-                counts.append(np.array([len(g) + 1 for g in got], np.uint64))
-                ids.append(keys[lo : lo + ENCODE_ROWS])
-        if out is None:
-            return
-        out.close()
-        offsets = np.cumsum(np.concatenate(counts)).astype("<u8")
-        for kind, values in (("off", offsets), ("doc", np.concatenate(ids).astype("<i8"))):
-            with store.open_output_stream(f"{root}/.{tail}.{kind}") as f:
-                f.write(values.tobytes())
-        for kind in ("tok", "off", "doc"):
-            _commit(store, f"{root}/.{tail}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int32()), "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]}
-        )
+        end, file = np.array([end_id], enc.dtype).tobytes(), None
+        for shard, keys, texts in _runs(batches):
+            if file is not None and file.shard != shard:
+                yield file.close()
+                file = None
+            if file is None:
+                file = _ShardFile(store, root, shard)
+            file.add(keys, enc.encode_many(texts), end)
+        if file is not None:
+            yield file.close()
 
     return write
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 8192) -> dict:
     """Encode every whole text into the folder ``uri`` and return the manifest."""
     store, root = _open(uri)
     store.create_dir(root, recursive=True)
-    rows = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    rows = range_sharded(rows, "doc_id", F.col("h"), shard_docs).sortWithinPartitions(SHARD, "doc_id", "text").select(SHARD, "doc_id", "text")
     # one row for each shard comes to the driver
     shards = sorted(tuple(r) for r in rows.mapInArrow(_shard_writer(uri, tokenizer_path, end_id), SHARDS).collect())
     n_docs, n_tokens = np.array([s[1] for s in shards], np.int64), np.array([s[2] for s in shards], np.int64)

@@ -13,15 +13,31 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+ENCODE_ROWS = 512
+ENCODE_BYTES = 4 << 20
 CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 48
 RUN = 256
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def encoding_runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and end row of the runs that are encoded together: bounded in rows and, but for a single text, in bytes."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        fits = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + ENCODE_BYTES, "right"))
+        hi = min(lo + ENCODE_ROWS, max(lo + 1, fits))
+        yield lo, hi
+        lo = hi
+
+
 class Encoder:
     """Token ids of texts as little-endian arrays of ``dtype``."""
 
