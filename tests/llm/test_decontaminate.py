@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -77,3 +80,51 @@ def test_items_with_a_null_id_count(spark):
     for s in (Settings(), Settings(index_bytes=200)):
         assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items, s).collect()} == {(1, None), (2, 10)}
         assert [r["doc_id"] for r in remove_contaminated(docs, items, s).collect()] == [3]
+
+
+def words_of(text):
+    return re.findall("[a-z0-9\x80-\U0010ffff]+", text.lower())
+
+
+def test_scores_equal_bm25_by_hand(spark):
+    """Whatever the number of indexes, scores are BM25 over all items."""
+    s = Settings()
+    items = [(k, t) for k, t in ITEMS if k < 30]
+    bags = {k: words_of(t) for k, t in items}
+    mean = sum(map(len, bags.values())) / len(bags)
+    df = Counter(w for b in bags.values() for w in set(b))
+
+    def score(item, passage):
+        total = 0.0
+        for w, tf in Counter(bags[item]).items():
+            if w in passage:
+                idf = math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5))
+                total += idf * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(bags[item]) / mean))
+        return total
+
+    docs = [(k, f"{sentence(20)} {t} {sentence(20)}", 0, "x") for k, t in items]
+    df_docs, df_items = spark.createDataFrame(docs, DOC_SCHEMA), spark.createDataFrame(items, ITEM_SCHEMA)
+    for index_bytes in (64 << 20, 1500):
+        got = {(r["doc_id"], r["item_id"]): r for r in contaminated(df_docs, df_items, Settings(index_bytes=index_bytes)).collect()}
+        assert set(got) == {(k, k) for k, _ in items}
+        for (d, k), r in got.items():
+            assert abs(r["threshold"] - s.share * score(k, bags[k])) < 1e-9
+            text = words_of(docs[d][1])
+            passages = [set(text[a : a + 2 * s.window]) for a in range(0, len(text), s.window)]
+            assert min(abs(r["score"] - score(k, p)) for p in passages) < 1e-9
+
+
+def test_block_maxima_are_stored():
+    index = Index([k for k, _ in ITEMS], [t for _, t in ITEMS], Settings(block=4))
+    for t in range(len(index.vocabulary)):
+        a, b, at = int(index.first[t]), int(index.first[t + 1]), int(index.block_first[t])
+        want = [index.impact[k : min(k + 4, b)].max() for k in range(a, b, 4)]
+        assert index.block_most[at : int(index.block_first[t + 1])].tolist() == want and index.most[t] == max(want)
+
+
+def test_a_long_item_stands_in_windows(spark):
+    item = f"{sentence(900)}. {sentence(300)}."
+    words = item.split()
+    docs = [(1, f"{sentence(150)} {item} {sentence(150)}", 0, "x"), (2, " ".join(words[:700]), 0, "x"), (3, sentence(900), 0, "x"), (4, ITEMS[2][1], 0, "x")]
+    items = spark.createDataFrame([(7, item), (2, ITEMS[2][1])], ITEM_SCHEMA)
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(spark.createDataFrame(docs, DOC_SCHEMA), items).collect()} == {(1, 7), (4, 2)}
