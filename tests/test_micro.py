@@ -1,6 +1,7 @@
 """Hand-computed cases of single operators."""
 
 import datetime as dt
+import re
 from math import log, sqrt
 
 import numpy as np
@@ -11,7 +12,7 @@ from weftline.functions import kernels
 from weftline.functions import text as tx
 from weftline.operators import correlation, graph, models, news, pairstats, panel, propagation
 from weftline.sources import announcements as ann
-from weftline.sources import graphs, panels
+from weftline.sources import graphs, panels, signals
 from weftline.sources.universe import companies, names, universe
 
 D = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(8)]
@@ -249,3 +250,81 @@ def test_planned_operators_raise(spark):
         with pytest.raises(NotImplementedError):
             call()
     assert ann.extract_relations(none).columns == ["src", "dst", "relation", "confidence"] and ann.extract_relations(none).count() == 0
+
+
+def test_auc_by_groups_and_odd_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(s), int(rng.random() < 0.4)) for g in range(3) for s in np.round(rng.normal(0, 1, 80), 1)]
+    rows += [(1, float("inf"), 1), (1, float("-inf"), 0), (2, 1e308, 1), (2, -1e308, 0)]
+    got = {r["g"]: r["auc"] for r in models.auc(spark.createDataFrame(rows, "g int, score double, label int"), by=("g",)).collect()}
+    for g in range(3):
+        pos, neg = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
+        want = np.mean([[float(p > n) + 0.5 * (p == n) for n in neg] for p in pos])
+        assert abs(got[g] - want) < 1e-12
+
+
+def test_permuted_features_keep_their_values(spark, monkeypatch):
+    rows = [(float(k), float(k % 7), k % 2) for k in range(90)]
+    df = spark.createDataFrame(rows, "x double, z double, y int")
+    seen = []
+    monkeypatch.setattr(models, "score", lambda model, d: seen.append(d) or d.withColumn("score", F.col("x") + 0.0))
+    got = models.permutation_importance(None, df, ["x", "z"], "y", repeats=3, block_rows=20).collect()
+    assert {r["feature"] for r in got} == {"x", "z"} and got[-1]["importance"] == 0.0
+    for d, c in zip(seen[1:], ("x", "z"), strict=True):
+        for k in range(3):
+            part = d.where(f"__repeat = {k}").toPandas()
+            assert sorted(part[c]) == sorted(df.toPandas()[c]) and (part[c].values != df.toPandas()[c].values).any()
+            other = "z" if c == "x" else "x"
+            assert sorted(zip(part[other], part["y"], strict=True)) == sorted(zip(df.toPandas()[other], df.toPandas()["y"], strict=True))
+
+
+def test_false_discoveries_equal_the_definition(spark):
+    rng = np.random.default_rng(3)
+    for alpha in (0.05, 0.3):
+        p = [*np.round(rng.random(60) ** 3, 3), 0.0, 0.0, 1e-300, alpha, float("nan"), None]
+        df = spark.createDataFrame([(k, None if x is None else float(x)) for k, x in enumerate(p)], "k int, p double")
+        order = sorted((x, k) for k, x in enumerate(p) if x is not None and x == x)
+        top = max((i for i, (x, _) in enumerate(order, 1) if x <= alpha * i / len(p)), default=0)
+        assert {r["k"] for r in pairstats.bh_reject(df, "p", alpha).where("reject").collect()} == {k for _, k in order[:top]}
+
+
+def test_closest_names_over_blocks(spark):
+    names = spark.createDataFrame([("A", "Alpha Trading"), ("B", "alpha trading"), ("C", "Alfa Tradings"), ("D", "Omega"), ("E", None)], "ticker string, name string")
+    said = spark.createDataFrame([("Alpha Trading Ltd",), ("Alphaa Trading",), ("Omegas",), ("Zzz",), (None,)], "mention string")
+    for block in (1, 20_000):
+        got = {r["mention"]: r["ticker"] for r in news.resolve(said, names, block=block).collect()}
+        assert got == {"Alpha Trading Ltd": "B", "Alphaa Trading": "B", "Omegas": "D", "Zzz": None, None: None}
+
+
+def test_signals_round_trip(spark, tmp_path):
+    rows = spark.sql("select 'T' as ticker, date'2024-01-02' as date, 3L as news_count, 0.25D as news_novelty")
+    signals.save(rows, "news_semantic", str(tmp_path))
+    assert signals.load(spark, "news_semantic", str(tmp_path)).collect() == rows.collect()
+    edges = spark.sql("select 'a' as a, 'b' as b, 0.5D as similarity")
+    signals.save(edges, "candidate_edges", str(tmp_path))
+    assert signals.load(spark, "candidate_edges", str(tmp_path)).collect() == edges.collect()
+
+
+def test_text_models_and_dense_embedding(spark):
+    df = spark.createDataFrame([(1, "gain gain loss"), (2, None), (3, "")], "k int, t string")
+    longest = tx.model_polarity(lambda: lambda texts: [float(len(x)) for x in texts], batch=2)
+    assert [r[0] for r in df.orderBy("k").select(longest("t")).collect()] == [14.0, 0.0, 0.0]
+    pair = tx.model_embedding(lambda: lambda texts: [[len(x), 1] for x in texts])
+    assert [list(r[0]) for r in df.orderBy("k").select(pair("t")).collect()] == [[14.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
+    dense = [list(r[0]) for r in df.orderBy("k").select(tx.lexical_embedding("t")).collect()]
+    assert all(len(d) == 512 for d in dense) and sorted(round(x, 6) for x in dense[0] if x) == [0.447214, 0.894427] and not any(dense[1] + dense[2])
+    sparse = {r["bucket"]: r["weight"] for r in tx.term_buckets(df, "k", "t").where("k = 1").collect()}
+    assert {k: x for k, x in enumerate(dense[0]) if x} == pytest.approx(sparse)
+
+
+def test_plans_hold_no_global_window_over_rows_and_no_nested_loop(spark):
+    tests = spark.range(10).selectExpr("id as a", "id as b", "rand() as p")
+    rows = spark.range(40).selectExpr("date'2024-01-01' + int(id % 10) as date", "string(id % 4) as ticker", "double(id) as price")
+    plans = [pairstats.te_tests(rows.withColumnRenamed("price", "r")), pairstats.cointegrated_pairs(rows)]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text
+        # one-row counts are the only inputs of nested loops
+        assert all("n_tickers" in x for x in re.findall(r"BroadcastNestedLoopJoin[^\n]*\n(?:[^\n]*\n){0,12}", text))
+    text = pairstats.bh_reject(tests)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Window \[[^\n]*windowspecdefinition\(v#\d+ ASC", text)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 # fixed values: words of a positive and of a negative announcement
 POSITIVE = (
@@ -33,9 +34,13 @@ def words(text: Column | str) -> Column:
 
 def polarity(text: Column | str, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
     """(p - n) / (p + n) over occurrences of lexicon words; 0 without any."""
-    count = lambda lexicon: F.size(F.filter(words(text), lambda w: w.isin(list(lexicon))))
-    p, n = count(positive), count(negative)
-    return F.coalesce(F.try_divide((p - n).cast("double"), (p + n).cast("double")), F.lit(0.0))
+
+    def judge(found: Column) -> Column:
+        count = lambda lexicon: F.size(F.filter(found, lambda w: w.isin(list(lexicon))))
+        p, n = count(positive), count(negative)
+        return F.coalesce(F.try_divide((p - n).cast("double"), (p + n).cast("double")), F.lit(0.0))
+
+    return F.transform(F.array(words(text)), judge)[0]  # the words are bound once
 
 
 def joined_text(*parts: Column | str) -> Column:
@@ -74,21 +79,33 @@ def term_buckets(docs: DataFrame, key: str, text: str, size: int = 512, stop: tu
     if stop:
         tokens = tokens.where(~F.col("w").isin(list(stop)))
     counts = tokens.select(key, bucket(F.col("w"), size).alias("bucket")).groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("c"))
-    norm = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return counts.join(norm, key).select(key, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
+    # all buckets of a text are few, so its norm is a window over them
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.Window.partitionBy(key)))
+    return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
 
 
 def lexical_embedding(text: Column | str, size: int = 512) -> Column:
     """Dense form of :func:`term_buckets` for one row: array<double> of unit length, zeros for no word."""
-    b = F.transform(F.filter(words(text), lambda w: F.length(w) > 1), lambda w: bucket(w, size))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
-    return unit(counts)
+    b = F.array_sort(F.transform(F.filter(words(text), lambda w: F.length(w) > 1), lambda w: bucket(w, size)))
+    # runs of equal buckets: where each first stands, and how many stand before the next
+    first = lambda b: F.filter(F.sequence(F.lit(0), F.size(b)), lambda i: (i == 0) | (i == F.size(b)) | (F.get(b, i) != F.get(b, i - 1)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+
+    def filled(b: Column, at: Column) -> Column:
+        """Each run's count after the zeros of the buckets between it and the one before."""
+        before = lambda i: F.coalesce(F.get(b, i - 1), F.lit(-1))
+        run = lambda k: F.concat(zeros(F.get(b, F.get(at, k - 1)) - before(F.get(at, k - 1)) - 1), F.array((F.get(at, k) - F.get(at, k - 1)).cast("double")))
+        return F.concat(F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - 1), run)), zeros(F.lit(size - 1) - F.element_at(b, -1)))
+
+    dense = lambda b: F.when(F.size(b) == 0, zeros(F.lit(size))).otherwise(F.transform(F.array(first(b)), lambda at: filled(b, at))[0])
+    return unit(F.transform(F.array(b), dense)[0])
 
 
 def unit(vector: Column) -> Column:
     """A vector over its length; a zero vector stays."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(vector)), F.lit(0.0)))
+    over = lambda v: F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))))[0]
+    return F.transform(F.array(vector), over)[0]  # vector and norm are bound once
 
 
 Scorer = Callable[[list[str]], list[float]]

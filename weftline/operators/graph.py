@@ -17,6 +17,7 @@ from pyspark.sql import window as W
 
 from weftline.config import DEFAULTS
 from weftline.operators import correlation, pairstats, panel
+from weftline.operators.lineage import cut
 
 EDGE_LIMIT = 2_000_000  # of a graph that a single task may hold
 
@@ -86,9 +87,9 @@ def as_of_windows(prices: DataFrame, as_of: DataFrame, lookback: int = DEFAULTS.
     """
     days = panel.calendar(panel.clean(prices))
     ends = as_of.select("as_of").distinct().join(days, F.col("date") <= F.col("as_of")).groupBy("as_of").agg(F.max("day_idx").alias("end"))
-    span = (F.col("day_idx") > F.col("end") - lookback) & (F.col("day_idx") <= F.col("end"))
     dense = panel.dense_returns(prices)
-    inside = dense.join(ends, span)
+    # the positions of each window, so that panel rows are joined by position
+    inside = dense.join(ends.select("as_of", F.explode(F.expr(f"sequence(end - {lookback - 1}, end)")).alias("day_idx")), "day_idx")
     return (
         inside.where("price is not null").select("as_of", "date", "ticker", "price"),
         inside.where("r is not null").select("as_of", "date", "ticker", "r"),
@@ -136,15 +137,14 @@ def pagerank(edges: DataFrame, node: DataFrame, alpha: float = DEFAULTS.pagerank
 
     Ranks are checkpointed every few rounds, where convergence is also judged.
     """
-    spark = node.sparkSession
     ids = node.select("id").distinct()
     n = ids.count()
     if not n or edges.isEmpty():
         return ids.where("false").select("id", F.lit(0.0).alias("pagerank"))
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = _checkpoint(edges.join(total, "src").select("src", "dst", F.try_divide("weight", "total").alias("p")), spark)
+    share = cut(edges.join(total, "src").select("src", "dst", F.try_divide("weight", "total").alias("p")))
     base = ids.join(total.where("total > 0").select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
-    base = _checkpoint(base.select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), spark)
+    base = cut(base.select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     rank = base.select("id", "dangling", F.lit(1.0 / n).alias("x"))
     for k in range(1, most + 1):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0)).alias("lost"))
@@ -154,7 +154,7 @@ def pagerank(edges: DataFrame, node: DataFrame, alpha: float = DEFAULTS.pagerank
         if k % every:
             rank = following
             continue
-        following = _checkpoint(following, spark)
+        following = cut(following)
         moved = following.join(rank.select("id", F.col("x").alias("y")), "id").agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0]
         rank = following
         if moved < n * tolerance:
@@ -162,15 +162,6 @@ def pagerank(edges: DataFrame, node: DataFrame, alpha: float = DEFAULTS.pagerank
     return rank.select("id", F.col("x").alias("pagerank"))
 
 
-def _checkpoint(df: DataFrame, spark) -> DataFrame:
-    """Cut the lineage in the shared folder named by the session (a local one only where none is named)."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
-
-
 def betweenness(edges: DataFrame, node: DataFrame, inverse: bool = False) -> DataFrame:
     """(id, betweenness): weights are distances (or 1/weight with ``inverse``), normalised by (n-1)(n-2).
 
@@ -267,7 +258,15 @@ def confirm_edges(candidates: DataFrame, prices: DataFrame, returns: DataFrame,
     te = pairstats.te_tests(returns, DEFAULTS.te_bins, surrogates, seed, listwise=False, candidates=c.select("a", "b"))
     both = pairstats.stronger_direction(tested.join(te, ["a", "b"]).withColumns({"x": F.col("a"), "y": F.col("b")}))
     both = both.select("src", "dst", "x", "y", "similarity", "coint_p", F.col("p").alias("te_p"))
-    both = pairstats.bh_reject(both, "coint_p", alpha).withColumnRenamed("reject", "coint_ok")
+    return confirmed(both, alpha, require)
+
+
+def confirmed(tests: DataFrame, alpha: float = DEFAULTS.fdr_alpha, require: str = "and") -> DataFrame:
+    """(src, dst, weight, similarity, coint_p, te_p) of the tests (src, dst, x, y, similarity, coint_p, te_p) that pass.
+
+    Both families of p-values are corrected over all rows; of equal directions the last (x, y) counts.
+    """
+    both = pairstats.bh_reject(tests, "coint_p", alpha).withColumnRenamed("reject", "coint_ok")
     both = pairstats.bh_reject(both, "te_p", alpha).withColumnRenamed("reject", "te_ok")
     kept = both.where("coint_ok and te_ok" if require == "and" else "coint_ok or te_ok")
     last = F.row_number().over(W.Window.partitionBy("src", "dst").orderBy(F.desc("x"), F.desc("y")))
@@ -276,8 +275,16 @@ def confirm_edges(candidates: DataFrame, prices: DataFrame, returns: DataFrame,
     return kept.select("src", "dst", weight.alias("weight"), "similarity", "coint_p", "te_p")
 
 
+def strongest(edges: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` edges of the largest weight, in descending order; ties by source and target."""
+    return edges.orderBy(F.desc("weight"), "src", "dst").limit(n)
+
+
 def plot_table(edges: DataFrame, node: DataFrame) -> DataFrame:
     """What a network drawing needs: (id, label, degree, size, colour)."""
-    colour = (F.dense_rank().over(W.Window.orderBy("sector")) - 1) % 20
+    # a number for each of the few sectors
+    sectors = node.select("sector").distinct()
+    sectors = sectors.select(F.col("sector").alias("__sector"), ((F.row_number().over(W.Window.orderBy("sector")) - 1) % 20).alias("colour"))
     degree = F.col("out_strength") + F.col("in_strength")
-    return node.join(strength(edges, node), "id").select("id", F.split("name", " ")[0].alias("label"), degree.alias("degree"), (300 + 250 * degree).alias("size"), colour.alias("colour"))
+    drawn = node.join(strength(edges, node), "id").join(sectors, F.col("sector").eqNullSafe(F.col("__sector")))
+    return drawn.select("id", F.split("name", " ")[0].alias("label"), degree.alias("degree"), (300 + 250 * degree).alias("size"), "colour")

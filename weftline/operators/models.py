@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from weftline.config import DEFAULTS
+from weftline.operators.lineage import cut
+from weftline.operators.pairstats import running_counts
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(n, positives, auc), exact: average ranks of ties.
+BUCKETS = 4096
 
-    Scores are first grouped by value, so the running sum is over different scores only.
+
+def auc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, positives, auc), exact: average ranks of ties.
+
+    Scores are first grouped by value and stored; ranks are sums over buckets of values, and within each.
     """
-    by = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("double")).alias("p"))
-    below = F.coalesce(F.sum("c").over(W.Window.orderBy("s").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", below + (F.col("c") + 1) / 2.0)
-    t = ranked.agg(F.sum("c").alias("n"), F.sum("p").alias("pos"), F.sum(F.col("rank") * F.col("p")).alias("ranks"))
+    s = F.col(score).cast("double")
+    values = cut(scored.groupBy(*by, s.alias("v")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("double")).alias("p")))
+    finite = (F.abs("v") < float("inf")) & ~F.isnan("v")
+    span = values.where(finite).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
+    part = F.try_divide(F.col("v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    bucket = F.when(F.col("v") == float("-inf"), -1).when(finite, F.coalesce(F.floor(part * BUCKETS), F.lit(0))).when(F.col("v").isNotNull(), BUCKETS + 1).otherwise(-2)
+    ranked = running_counts(values.crossJoin(span), bucket, by).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2.0)
+    t = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("p").alias("pos"), F.sum(F.col("rank") * F.col("p")).alias("ranks"))
     value = F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos")))
-    return t.select("n", F.col("pos").cast("long").alias("positives"), value.alias("auc"))
+    return t.select(*by, "n", F.col("pos").cast("long").alias("positives"), value.alias("auc"))
 
 
 def accuracy(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -55,22 +64,29 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "score")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, repeats: int = 8, seed: int = DEFAULTS.seed) -> DataFrame:
-    """(feature, importance): the mean loss of AUC when a feature's values are dealt anew."""
-    spark = df.sparkSession
-    order = W.Window.orderBy(F.xxhash64(*df.columns), *df.columns)
-    df = df.withColumn("__at", F.row_number().over(order)).persist()
-    base = auc(score(model, df), label=label).first()["auc"]
-    rows = []
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, repeats: int = 8, seed: int = DEFAULTS.seed, block_rows: int = 10_000) -> DataFrame:
+    """(feature, importance): the mean loss of AUC when a feature's values are dealt anew.
+
+    All repeats of a feature are one pass: rows fall into blocks at random, and within a block each takes
+    the value of the next in an order by hash, so values are permuted without a global order.
+    """
+    blocks = max(1, -(-df.count() // block_rows))
+    own = F.xxhash64(*df.columns)
+    base = auc(score(model, df), label=label).select(F.col("auc").alias("__base"))
+    lost = None
     for k, f in enumerate(features):
-        lost = 0.0
-        for r in range(repeats):
-            dealt = df.select(F.col(f).alias("__new"), F.row_number().over(W.Window.orderBy(F.xxhash64("__at", F.lit(seed + 1000 * k + r)))).alias("__at"))
-            shuffled = df.join(dealt, "__at").withColumn(f, F.col("__new")).drop("__new")
-            lost += base - auc(score(model, shuffled), label=label).first()["auc"]
-        rows.append((f, lost / repeats))
-    df.unpersist()
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+        dealt = df.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        dealt = dealt.withColumn("__order", F.xxhash64(own, F.lit(seed + 1000 * k) + F.col("__repeat")))
+        dealt = dealt.withColumn("__block", F.pmod(F.xxhash64("__order"), F.lit(blocks)))
+        block = W.Window.partitionBy("__repeat", "__block")
+        order = block.orderBy("__order", *df.columns)
+        following = F.struct(F.lead(f).over(order).alias("x"), (F.row_number().over(order) < F.count(F.lit(1)).over(block)).alias("inside"))
+        first = F.first(f).over(order)
+        dealt = dealt.withColumns({"__next": following, "__first": first}).withColumn(f, F.when(F.col("__next.inside"), F.col("__next.x")).otherwise(F.col("__first")))
+        each = auc(score(model, dealt.select(*df.columns, "__repeat")), label=label, by=("__repeat",))
+        part = each.crossJoin(base).agg(F.avg(F.col("__base") - F.col("auc")).alias("importance")).select(F.lit(f).alias("feature"), "importance")
+        lost = part if lost is None else lost.union(part)
+    return lost.orderBy(F.desc("importance"), "feature")
 
 
 def news_lift(train: DataFrame, test: DataFrame, base: list[str], news: list[str], label: str = "target_up", rounds: int = 400) -> DataFrame:

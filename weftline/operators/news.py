@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -111,7 +110,7 @@ class Closest:
         self.cutoff = cutoff
         self.names = sorted((len(n), n, Counter(n)) for n in names)
 
-    def __call__(self, word: str) -> str | None:
+    def __call__(self, word: str) -> tuple[float, str] | None:
         n, letters, best = len(word), Counter(word), None
         matcher = SequenceMatcher()
         matcher.set_seq2(word)
@@ -126,37 +125,41 @@ class Closest:
             found = (matcher.ratio(), name)
             if found[0] >= self.cutoff and (best is None or found > best):
                 best = found
-        return best[1] if best else None
+        return best
 
 
-def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column: str = "mention") -> DataFrame:
-    """Exact matches, and else the closest name of at least ``cutoff``, by matching blocks.
+def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column: str = "mention", block: int = 20_000) -> DataFrame:
+    """Exact matches, and else the closest name of at least ``cutoff``, by matching blocks; of equally close ones the largest.
 
-    Only different mentions that no name equals are compared, in Arrow batches.  The names are a
-    dictionary that every worker holds, so their number is checked.
+    Only different mentions that no name equals are compared, part by part with blocks of names, so a
+    task holds a block of names and a part of the mentions, whatever their number.
     """
-    rows = names.select(tx.normalise_name("name").alias("k"), "ticker").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("fuzzy matching holds all names in each worker; there are over 100,000")
-    known = {r[0]: r[1] for r in rows}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        closest = Closest(list(known), cutoff)
-        for batch in batches:
-            found = [(k, known[m]) for k, m in ((k, closest(k)) for k in batch["fuzzy_key"]) if m is not None]
-            if found:
-                yield pd.DataFrame(found, columns=["fuzzy_key", "fuzzy"])
+    known = names.select(tx.normalise_name("name").alias("k"), "ticker").groupBy("k").agg(F.max("ticker").alias("ticker"))
+    blocks = -(-known.count() // block) or 1
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(found: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        closest = Closest(have["k"].tolist(), cutoff) if len(found) else None
+        best = [(m, *c) for m in found["fuzzy_key"] if (c := closest(m)) is not None]
+        return pd.DataFrame(best, columns=["fuzzy_key", "ratio", "name"])
 
     exact = resolve_exact(mentions, names, column)
     key = tx.normalise_name(column)
     rest = exact.where("ticker is null").select(key.alias("fuzzy_key")).where("fuzzy_key is not null").distinct()
-    fuzzy = rest.mapInPandas(run, "fuzzy_key string, fuzzy string")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("fuzzy_key"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = known.where("k is not null").withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    near = rest.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(run, "fuzzy_key string, ratio double, name string")
+    near = near.groupBy("fuzzy_key").agg(F.max(F.struct("ratio", "name")).alias("best")).select("fuzzy_key", F.col("best.name").alias("k"))
+    fuzzy = near.join(known, "k").select("fuzzy_key", F.col("ticker").alias("fuzzy"))
     out = exact.withColumn("__key", key).join(fuzzy, F.col("__key") == F.col("fuzzy_key"), "left")
     return out.withColumn("ticker", F.coalesce("ticker", "fuzzy")).drop("__key", "fuzzy_key", "fuzzy")
 
 
-def mentions(docs: DataFrame, names: DataFrame, key: str, text: str = "text", cutoff: float = 0.85, most: int = 4) -> DataFrame:
-    """(key, tickers): the sorted tickers of the names that each text mentions; texts without any are left out."""
+def mentions(docs: DataFrame, names: DataFrame, key: str, text: str = "text", cutoff: float | None = 0.85, most: int = 4) -> DataFrame:
+    """(key, tickers): the sorted tickers of the names that each text mentions; texts without any are left out.
+
+    Without a ``cutoff`` only exact names count.
+    """
     found = docs.select(key, F.explode(tx.spans(text, most)).alias("mention")).distinct()
-    hit = resolve(found, names, cutoff).where("ticker is not null")
+    hit = (resolve_exact(found, names) if cutoff is None else resolve(found, names, cutoff)).where("ticker is not null")
     return hit.groupBy(key).agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))

@@ -1,13 +1,16 @@
 """Statistics of pairs of series: transfer entropy, cointegration, hedge ratios.
 
 Set-based forms stay in Catalyst.  Where a pair needs a sequential or resampling
-kernel, each ticker's series becomes one array row, pairs are dealt evenly over
-the cluster, and the kernel runs over Arrow batches of pairs.
+kernel, each ticker's series becomes one array row.  Tickers are dealt to small
+blocks, a task has the series of two blocks and runs the kernel over all pairs
+between them, so a series is copied once for each block and not for each pair.
+Given candidate pairs are dealt evenly over the cluster instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,7 +21,9 @@ from pyspark.sql import window as W
 from weftline.config import DEFAULTS
 from weftline.functions import kernels
 from weftline.operators import panel
+from weftline.operators.lineage import cut
 
+BLOCK_TICKERS = 8
 
 def binned(returns: DataFrame, bins: int = DEFAULTS.te_bins, value: str = "r") -> DataFrame:
     """(ticker, date, pos, bin): equal-frequency bins of each ticker, ties by date."""
@@ -38,13 +43,39 @@ def transfer_entropies(returns: DataFrame, bins: int = DEFAULTS.te_bins, value:
     src = steps.select(F.col("ticker").alias("src"), "date", F.col("past").alias("xp"))
     dst = steps.select(F.col("ticker").alias("dst"), "date", F.col("bin").alias("yt"), F.col("past").alias("yp"))
     cells = src.join(dst, "date").where("src <> dst").groupBy("src", "dst", "yt", "yp", "xp").agg(F.count(F.lit(1)).alias("c"))
-    sets = cells.groupingSets([["src", "dst", "yt", "yp", "xp"], ["src", "dst", "yt", "yp"], ["src", "dst", "yp", "xp"], ["src", "dst", "yp"]], "src", "dst", "yt", "yp", "xp")
+    return _entropy_of_cells(cells, ["src", "dst"])
+
+
+def _entropy_of_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, te) from the counts c of (by, yt, yp, xp)."""
+    sets = cells.groupingSets([[*by, "yt", "yp", "xp"], [*by, "yt", "yp"], [*by, "yp", "xp"], [*by, "yp"]], *by, "yt", "yp", "xp")
     counts = sets.agg(F.sum("c").alias("c"), F.grouping_id().alias("g"))
     # H(yt,yp) - H(yp) - H(yt,yp,xp) + H(yp,xp), with H = ln n - sum(c ln c) / n
     sign = F.when(F.col("g") == 0, 1.0).when(F.col("g") == 1, -1.0).when(F.col("g") == 4, -1.0).otherwise(1.0)
     n = F.sum(F.when(F.col("g") == 0, F.col("c")))
     te = F.try_divide(F.sum(sign * F.col("c") * F.ln("c")), n)
-    return counts.groupBy("src", "dst").agg(F.greatest(F.lit(0.0), te).alias("te"))
+    return counts.groupBy(*by).agg(F.greatest(F.lit(0.0), te).alias("te"))
+
+
+def shifted_tests(returns: DataFrame, shifts: DataFrame, bins: int = DEFAULTS.te_bins, value: str = "r", digits: int = 9) -> DataFrame:
+    """(src, dst, te, p) for all ordered pairs, against the circular shifts of the source in the column ``k`` of ``shifts``.
+
+    The set-based form of the test by resampling: each surrogate's entropy is rounded to ``digits`` before it is compared.
+    """
+    common = panel.listwise(returns, value)
+    own = W.Window.partitionBy("ticker")
+    base = common.select("ticker", F.col(value).alias("v"), (F.row_number().over(own.orderBy("date")) - 1).alias("pos"), F.count(F.lit(1)).over(own).alias("n"))
+    dealt = base.join(shifts.select("k").union(shifts.sparkSession.createDataFrame([(0,)], "k int")), F.lit(True)).withColumn("at", (F.col("pos") + F.col("k")) % F.col("n"))
+    each = W.Window.partitionBy("ticker", "k")
+    code = F.least(F.floor(F.row_number().over(each.orderBy("v", "at")) * bins / F.col("n")), F.lit(bins - 1)).cast("int")
+    coded = dealt.withColumn("bin", code).withColumn("past", F.lag("bin").over(each.orderBy("at"))).where("past is not null")
+    src = coded.select(F.col("ticker").alias("src"), "k", "at", F.col("past").alias("xp"))
+    dst = coded.where("k = 0").select(F.col("ticker").alias("dst"), "at", F.col("bin").alias("yt"), F.col("past").alias("yp"))
+    cells = src.join(dst, "at").where("src <> dst").groupBy("src", "dst", "k", "yt", "yp", "xp").agg(F.count(F.lit(1)).alias("c"))
+    tests = _entropy_of_cells(cells, ["src", "dst", "k"]).select("src", "dst", "k", F.round("te", digits).alias("te"))
+    real = tests.where("k = 0").select("src", "dst", F.col("te").alias("real"))
+    held = tests.where("k <> 0").join(real, ["src", "dst"]).groupBy("src", "dst", "real")
+    return held.agg(((F.count_if(F.col("te") >= F.col("real")) + 1) / (F.count(F.lit(1)) + 1)).alias("p")).select("src", "dst", F.col("real").alias("te"), "p")
 
 
 def series(df: DataFrame, value: str) -> DataFrame:
@@ -53,31 +84,48 @@ def series(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy("ticker").agg(rows.alias("s")).select("ticker", F.col("s.date").alias("dates"), F.col("s.v").alias("values"))
 
 
-def pair_series(df: DataFrame, value: str, candidates: DataFrame | None = None) -> DataFrame:
-    """(a, b, da, va, db, vb): series of both ends, of all pairs a < b or of given candidates."""
+def pair_series(df: DataFrame, value: str, candidates: DataFrame) -> DataFrame:
+    """(a, b, da, va, db, vb): the candidates with the series of both ends."""
     s = series(df, value)
     a = s.select(F.col("ticker").alias("a"), F.col("dates").alias("da"), F.col("values").alias("va"))
     b = s.select(F.col("ticker").alias("b"), F.col("dates").alias("db"), F.col("values").alias("vb"))
-    if candidates is None:
-        return a.join(b, F.col("a") < F.col("b"))
     return candidates.join(a, "a").join(b, "b")
 
 
-def _common(row) -> tuple[np.ndarray, np.ndarray]:
-    """Values of both ends on their common dates."""
-    a, b = pd.Series(row.va, index=row.da), pd.Series(row.vb, index=row.db)
+def _common(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Values of both on their common dates."""
     both = a.index.intersection(b.index)
     return a.loc[both].to_numpy(float), b.loc[both].to_numpy(float)
 
 
+def over_all_pairs(df: DataFrame, value: str, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(x, y) -> tuple or None`` for each pair a < b of tickers."""
+    s = series(df, value)
+    blocks = -(-df.select("ticker").distinct().count() // BLOCK_TICKERS) or 1
+    own = F.pmod(F.xxhash64("ticker"), F.lit(blocks))
+    s = s.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    s = s.select("ticker", "dates", "values", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ticker")
+        have = [(r.ticker, r.own, pd.Series(r.values_, index=r.dates)) for r in rows.rename(columns={"values": "values_"}).itertuples(index=False)]
+        apart, found = rows["lo"].iloc[0] != rows["hi"].iloc[0], []
+        for (a, of_a, x), (b, of_b, y) in combinations(have, 2):
+            if not (apart and of_a == of_b) and (got := kernel(*_common(x, y))) is not None:
+                found.append((a, b, *got))
+        return pd.DataFrame(found, columns=[x.split()[0] for x in schema.split(",")])
+
+    return s.groupBy("lo", "hi").applyInPandas(run, schema)
+
+
 def over_pairs(pairs: DataFrame, kernel: Callable, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``kernel(x, y) -> tuple or None`` for each pair, the pairs dealt evenly."""
+    """``kernel(x, y) -> tuple or None`` for each row of :func:`pair_series`, dealt evenly."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                got = kernel(*_common(row))
+                got = kernel(*_common(pd.Series(row.va, index=row.da), pd.Series(row.vb, index=row.db)))
                 if got is not None:
                     rows.append((row.a, row.b, *(getattr(row, k) for k in keep), *got))
             if rows:
@@ -99,7 +147,7 @@ def cointegrated_pairs(prices: DataFrame, p_max: float = DEFAULTS.cointegration_
             return None
 
     common = panel.listwise(panel.clean(prices), "price")
-    tested = over_pairs(pair_series(common, "price"), kernel, "a string, b string, p double")
+    tested = over_all_pairs(common, "price", kernel, "a string, b string, p double")
     if fdr:
         return bh_reject(tested, "p", p_max).where("reject").select("a", "b", "p")
     return tested.where(F.col("p") <= p_max)
@@ -111,8 +159,10 @@ def te_tests(returns: DataFrame, bins: int = DEFAULTS.te_bins, surrogates: int =
     def kernel(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         return *kernels.te_significance(x, y, bins, surrogates, seed), *kernels.te_significance(y, x, bins, surrogates, seed)
 
-    rows = panel.listwise(returns, "r") if listwise else returns
-    return over_pairs(pair_series(rows, "r", candidates), kernel, "a string, b string, te_ab double, p_ab double, te_ba double, p_ba double")
+    rows, schema = panel.listwise(returns, "r") if listwise else returns, "a string, b string, te_ab double, p_ab double, te_ba double, p_ba double"
+    if candidates is None:
+        return over_all_pairs(rows, "r", kernel, schema)
+    return over_pairs(pair_series(rows, "r", candidates), kernel, schema)
 
 
 def stronger_direction(tests: DataFrame) -> DataFrame:
@@ -165,14 +215,33 @@ def kalman_hedges(prices: DataFrame, candidates: DataFrame, delta: float = 1e-4,
     return found.repartition("a", "b").mapInPandas(run, "a string, b string, date date, alpha double, beta double, spread double, residual double")
 
 
+def running_counts(values: DataFrame, bucket, by: tuple[str, ...] = ()) -> DataFrame:
+    """``values``, rows (by, v, c) of different values, with ``below``: how many stand before them.
+
+    ``bucket`` is a column that grows with ``v`` and has a bounded number of values: sums run over
+    the buckets first and then within each, so no window holds all values.
+    """
+    columns, values = values.columns, values.withColumn("__bucket", bucket)
+    sums = values.groupBy(*by, "__bucket").agg(F.sum("c").alias("__sum"))
+    before = F.sum("__sum").over(W.Window.partitionBy(*by).orderBy("__bucket").rowsBetween(W.Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum("c").over(W.Window.partitionBy(*by, "__bucket").orderBy("v").rowsBetween(W.Window.unboundedPreceding, -1))
+    found = values.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(sums, [*by, "__bucket"])
+    return found.select(*columns, (F.col("__before") + F.col("__inside")).alias("below"))
+
+
 def bh_reject(tests: DataFrame, p: str = "p", alpha: float = DEFAULTS.fdr_alpha) -> DataFrame:
     """``tests`` with ``reject``: Benjamini-Hochberg at the false discovery rate ``alpha``.
 
-    Ranks are global, over one row for each test; NaN and null sort last, count and never pass.
+    Rejected is what isn't over the largest p-value p with p <= alpha * (tests up to p) / (all tests), which
+    only values up to ``alpha`` can be.  NaN and null count and never pass.  The tests are stored first, as they
+are read more than once.
     """
-    value = F.when(~F.isnan(F.col(p)), F.col(p))
-    ranked = tests.withColumn("__rank", F.row_number().over(W.Window.orderBy(value.asc_nulls_last(), *[c for c in tests.columns if c != p])))
-    every = W.Window.partitionBy()
-    ranked = ranked.withColumn("__m", F.count(F.lit(1)).over(every))
-    ranked = ranked.withColumn("__k", F.max(F.when(value <= alpha * F.col("__rank") / F.col("__m"), F.col("__rank"))).over(every))
-    return ranked.withColumn("reject", F.coalesce(F.col("__rank") <= F.col("__k"), F.lit(False))).drop("__rank", "__m", "__k")
+    tests, value = cut(tests), F.when(~F.isnan(F.col(p)), F.col(p))
+    m = tests.agg(F.count(F.lit(1)).alias("__m"))
+    small = tests.select(value.alias("v")).where(F.col("v") <= alpha).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    # 64 buckets for each halving down from alpha, 0 in the first
+    steps = F.when(F.col("v") > 0, F.greatest(F.floor(64 * F.log2(F.col("v") / alpha)), F.lit(-70_000))).otherwise(F.lit(-70_001))
+    ranked = running_counts(small, steps).crossJoin(m)
+    most = ranked.where(F.col("v") <= alpha * (F.col("below") + F.col("c")) / F.col("__m")).agg(F.max("v").alias("__cut"))
+    return tests.crossJoin(most).withColumn("reject", F.coalesce(value <= F.col("__cut"), F.lit(False))).drop("__cut")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.config import DEFAULTS
 from weftline.functions import text as tx
 from weftline.operators import correlation, graph, models, news, pairstats, panel, propagation
+from weftline.operators.lineage import cut
 from weftline.plans import sql, views
 from weftline.sources import announcements as ann
 from weftline.sources.universe import names, universe
@@ -157,6 +158,13 @@ def te_significant_pairs(spark, d):
     return pairstats.significant_te_pairs(panel.log_returns(views.weekly_prices(spark, d)))
 
 
+@query("te_shift_tests", sql.te_shift_tests())
+def te_shift_tests(spark, d):
+    """Transfer entropy with p-values from a stated list of circular shifts; ``te_significant_pairs`` draws 200."""
+    shifts = spark.createDataFrame([(k,) for k in sql.SHIFTS], "k int")
+    return rounded(pairstats.shifted_tests(panel.log_returns(views.weekly_prices(spark, d)), shifts))
+
+
 @query("bh_fdr", sql.bh_fdr())
 def bh_fdr(spark, d):
     c = correlation.correlations(panel.log_returns(views.weekly_prices(spark, d)))
@@ -236,7 +244,7 @@ def pagerank_k(spark, d):
 
 @query("centrality_table")
 def centrality_table(spark, d):
-    return graph.centrality(graph._checkpoint(brand_edges(spark, d), spark), brand_nodes(spark, d))
+    return graph.centrality(cut(brand_edges(spark, d)), brand_nodes(spark, d))
 
 
 @query("plot_table", sql.plot_table(RHO, TE))
@@ -263,7 +271,7 @@ def full_edges(edges: DataFrame) -> DataFrame:
 @query("graph_asof_full")
 def graph_asof_full(spark, d):
     """All evidence of the window of ``graph_asof_corr``."""
-    p = graph._checkpoint(views.weekly_prices(spark, d), spark)
+    p = cut(views.weekly_prices(spark, d))
     _, edges = graph.graph_as_of(p, views.brand_universe(spark, d), SPLIT, 52, YEAR)
     return full_edges(edges).select(F.lit(SPLIT).cast("date").alias("as_of"), "*")
 
@@ -271,10 +279,10 @@ def graph_asof_full(spark, d):
 @query("rolling_graph_full")
 def rolling_graph_full(spark, d):
     """All evidence of every window of ``rolling_graph_corr``; each graph is kept before the next is made."""
-    p, brands = graph._checkpoint(views.weekly_prices(spark, d), spark), views.brand_universe(spark, d).persist()
+    p, brands = cut(views.weekly_prices(spark, d)), views.brand_universe(spark, d).persist()
     out = spark.createDataFrame([], "as_of date, src string, dst string, weight double, kinds string, corr double")
     for as_of, _, edges in graph.rolling_graphs(p, brands, 52, 13, YEAR):
-        out = out.union(graph._checkpoint(full_edges(edges).select(F.lit(as_of).cast("date").alias("as_of"), "*"), spark))
+        out = out.union(cut(full_edges(edges).select(F.lit(as_of).cast("date").alias("as_of"), "*")))
     return out
 
 
@@ -285,14 +293,36 @@ def statistical_graph(spark, d):
     return edges.select("src", "dst", "weight", graph.kinds().alias("kinds"), "corr")
 
 
+def brand_candidates(spark, d) -> DataFrame:
+    """Proposed edges (a, b, similarity) between brands, each standing for the vectors of its number."""
+    brands = panel.tickers(views.weekly_prices(spark, d)).select(F.col("ticker").alias("brand"), "ord")
+    near = news.propose_edges(views.vectors(spark, d), 3, -1.0)
+    to = lambda c: brands.select(F.concat(F.lit("T"), "ord").alias(c), F.col("brand").alias(f"brand_{c}"))
+    return near.join(to("a"), "a").join(to("b"), "b").select(F.col("brand_a").alias("a"), F.col("brand_b").alias("b"), "similarity")
+
+
 @query("confirm_edges")
 def confirm_edges(spark, d):
+    """The strongest 20 of the edges that both families of tests confirm."""
     p = views.weekly_prices(spark, d)
-    brands = panel.tickers(p).select(F.col("ticker").alias("brand"), "ord")
-    near = news.propose_edges(views.vectors(spark, d), 3, -1.0)
-    to = lambda c: brands.select(F.concat(F.lit("T"), "ord").alias(c), F.col("brand").alias(f"brand_{c}"))
-    c = near.join(to("a"), "a").join(to("b"), "b").select(F.col("brand_a").alias("a"), F.col("brand_b").alias("b"), "similarity")
-    return graph.confirm_edges(c, p, panel.log_returns(p), require="or")
+    return graph.strongest(graph.confirm_edges(brand_candidates(spark, d), p, panel.log_returns(p)))
+
+
+@query("confirm_edges_either")
+def confirm_edges_either(spark, d):
+    p = views.weekly_prices(spark, d)
+    return graph.strongest(graph.confirm_edges(brand_candidates(spark, d), p, panel.log_returns(p), require="or"))
+
+
+@query("confirm_stored_tests", sql.confirm_stored_tests())
+def confirm_stored_tests(spark, d):
+    """Correction, weights and order of ``confirm_edges`` over p-values that any engine can compute."""
+    c = correlation.correlations(panel.log_returns(views.weekly_prices(spark, d)))
+    tests = brand_candidates(spark, d).join(c, ["a", "b"])
+    up, size = F.col("rho") >= 0, F.abs("rho")
+    tests = tests.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("dst"), F.col("a").alias("x"), F.col("b").alias("y"), "similarity", r6(F.exp(-80 * size)).alias("coint_p"), r6(F.exp(-60 * size)).alias("te_p"))
+    found = graph.confirmed(tests, 0.5)
+    return graph.strongest(rounded(found))
 
 
 # --- propagation and models ----------------------------------------------------
@@ -374,11 +404,11 @@ def auc_exact(spark, d):
 
 def model_features(spark, d, with_news: bool = False) -> tuple[DataFrame, DataFrame]:
     """The feature matrix of all evidence, cointegration with it, before and from SPLIT; kept in a few partitions for repeated passes."""
-    p, node = graph._checkpoint(views.weekly_prices(spark, d), spark), brand_nodes(spark, d).persist()
+    p, node = cut(views.weekly_prices(spark, d)), brand_nodes(spark, d).persist()
     found = brand_evidence(spark, d).unionByName(graph.cointegration_evidence(pairstats.cointegrated_pairs(p)))
-    edges = graph._checkpoint(graph.with_correlation(graph.fold(found), correlation.correlations(panel.log_returns(p))), spark)
+    edges = cut(graph.with_correlation(graph.fold(found), correlation.correlations(panel.log_returns(p))))
     rows = propagation.build_dataset(p, edges, node, SHOCK, news=_news(spark, d) if with_news else None)
-    return propagation.temporal_split(graph._checkpoint(rows.coalesce(4), spark), SPLIT)
+    return propagation.temporal_split(cut(rows.coalesce(4)), SPLIT)
 
 
 @query("logreg_spike")
@@ -511,6 +541,12 @@ def lexical_embedding_md5(spark, d):
     return rounded(rows.withColumn("bucket", F.col("bucket").cast("long")))
 
 
+@query("lexical_embedding_dense", sql.lexical_embedding_dense())
+def lexical_embedding_dense(spark, d):
+    rows = views.announcements(spark, d).select("news_id", F.posexplode(tx.lexical_embedding("text")).alias("bucket", "weight")).where("weight <> 0")
+    return rounded(rows.withColumn("bucket", F.col("bucket").cast("long")))
+
+
 @query("normalise_names", sql.normalise_names())
 def normalise_names(spark, d):
     suffix = F.element_at(F.array(*[F.lit(s) for s in sql.SUFFIX_CASES]), (F.col("s_suppkey") % len(sql.SUFFIX_CASES) + 1).cast("int"))
@@ -532,6 +568,15 @@ def resolve_fuzzy(spark, d):
     return news.resolve(wanted, names(universe(spark)))
 
 
+@query("mentions_exact", sql.mentions_exact())
+def mentions_exact(spark, d):
+    """Which texts mention what another text begins with: its first two words, as a name."""
+    docs = views.announcements(spark, d)
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    known = docs.select(F.concat(F.lit("D"), "news_id").alias("ticker"), F.array_join(F.slice(w, 1, 2), " ").alias("name")).where("name <> ''")
+    return news.mentions(docs, known, "news_id", cutoff=None).select("news_id", F.array_join("tickers", ",").alias("tickers"))
+
+
 @query("company_mentions")
 def company_mentions(spark, d):
     return news.mentions(views.announcements(spark, d), names(universe(spark)), "news_id")

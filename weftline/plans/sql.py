@@ -189,6 +189,25 @@ def transfer_entropy_pairs() -> str:
     return _with(["te"], f"select src, dst, {r6('te')} from te")
 
 
+#: circular shifts of the tests by resampling
+SHIFTS = [7 + 16 * k for k in range(19)]
+
+
+def te_shift_tests() -> str:
+    base = "select ticker, r, row_number() over (partition by ticker order by date) - 1 as pos, count(*) over (partition by ticker) as n from common"
+    ks = ", ".join(f"({k})" for k in (0, *SHIFTS))
+    dealt = f"select b.*, k, (pos + k) % n as sp from base b cross join (values {ks}) v(k)"
+    coded = "select ticker, k, sp, least(floor(row_number() over (partition by ticker, k order by r, sp) * 4 / n), 3) as bin from dealt"
+    step = "select * from (select *, lag(bin) over (partition by ticker, k order by sp) as past from coded) where past is not null"
+    cell = "select s.ticker as src, d.ticker as dst, s.k, d.bin as yt, d.past as yp, s.past as xp, count(*) as c from step s join step d on d.k = 0 and s.sp = d.sp and s.ticker <> d.ticker group by all"
+    part = lambda keys: f"select src, dst, k, sum(c * ln(c)) as s, sum(c) as n from (select src, dst, k, {keys}, sum(c) as c from cell group by all) group by all"
+    tests = """select a.src, a.dst, a.k, round(greatest(0, (a.s - b.s - d.s + e.s) / a.n), 9) as te from e3 a
+        join e2 b using (src, dst, k) join ex d using (src, dst, k) join e1 e using (src, dst, k)"""
+    body = f"""select src, dst, {r6('z.te', 'te')}, {r6('(count(*) filter (t.te >= z.te) + 1) / (count(*) + 1)', 'p')} from tests t
+        join (select src, dst, te from tests where k = 0) z using (src, dst) where t.k <> 0 group by src, dst, z.te"""
+    return _with(["common"], body, base=base, dealt=dealt, coded=coded, step=step, cell=cell, e3=part("yt, yp, xp"), e2=part("yt, yp"), ex=part("yp, xp"), e1=part("yp"), tests=tests)
+
+
 def bh_fdr() -> str:
     t = f"select a, b, {r6('exp(-n * rho * rho / 2)', 'p')} from corr"
     ranked = "select *, row_number() over (order by p, a, b) as k, count(*) over () as m from t"
@@ -461,6 +480,25 @@ def propose_diagnostics(top_k: int, min_sim: float) -> str:
     return _with(["sims"], f"select count(*) as n_edges, count(*) filter ({same}) as same_sector, count(*) filter (not ({same})) as cross_sector from proposed", **_proposed(top_k, min_sim))
 
 
+def confirm_stored_tests() -> str:
+    brand = "select ticker, 'T' || (row_number() over (order by ticker) - 1) as t from (select distinct ticker from prices)"
+    cand = "select x.ticker as a, y.ticker as b, similarity from proposed p join brand x on x.t = p.a join brand y on y.t = p.b"
+    tests = f"""select case when rho >= 0 then a else b end as src, case when rho >= 0 then b else a end as dst, a as x, b as y, similarity,
+        {r6('exp(-80 * abs(rho))', 'coint_p')}, {r6('exp(-60 * abs(rho))', 'te_p')} from cand join corr using (a, b)"""
+    ranked = "select *, row_number() over (order by coint_p) as kc, row_number() over (order by te_p) as kt, count(*) over () as m from tests"
+    cut = lambda p, k: f"{p} <= coalesce((select max({p}) from ranked where {p} <= 0.5 * {k} / m), -1)"
+    kept = f"select *, row_number() over (partition by src, dst order by x desc, y desc) as n from ranked where {cut('coint_p', 'kc')} and {cut('te_p', 'kt')}"
+    body = f"""select src, dst, {r6('similarity * (1 - greatest(coint_p, te_p))', 'weight')}, {r6('similarity')}, {r6('coint_p')}, {r6('te_p')} from kept where n = 1
+        order by round(similarity * (1 - greatest(coint_p, te_p)), 6) desc, src, dst limit 20"""
+    return _with(["sims", "corr"], body, **_proposed(3, -1.0), brand=brand, cand=cand, tests=tests, ranked=ranked, kept=kept)
+
+
+def lexical_embedding_dense() -> str:
+    flat = "select news_id, unnest(ws) as w from tokens"
+    counts = "select news_id, cast('0x' || substr(md5(w), 1, 8) as bigint) % 512 as bucket, count(*) as c from flat where length(w) > 1 group by 1, 2"
+    return _with(["tokens"], f"select news_id, bucket, {r6('c / sqrt(sum(c * c) over (partition by news_id))', 'weight')} from counts", flat=flat, counts=counts)
+
+
 def lexical_embedding_md5() -> str:
     flat = "select news_id, unnest(ws) as w from tokens"
     counts = "select news_id, cast('0x' || substr(md5(w), 1, 8) as bigint) % 512 as bucket, count(*) as c from flat where length(w) > 1 and w not in ('the', 'and') group by 1, 2"
@@ -488,3 +526,11 @@ def resolve_exact() -> str:
     return f"""with names as (select {_normal('n_name')} as k, max('N' || n_nationkey) as ticker from nation group by 1),
         m as (select c_custkey, {mention} as mention from customer join nation on c_nationkey = n_nationkey)
         select c_custkey, mention, ticker from m left join names on k = {_normal('mention')}"""
+
+
+def mentions_exact() -> str:
+    said = "select news_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') as w from anns"
+    known = f"select {_normal('name')} as k, max('D' || news_id) as ticker from (select news_id, array_to_string(w[1:2], ' ') as name from said) where name <> '' group by 1"
+    spans = " union ".join(f"select news_id, array_to_string(w[i:i + {n - 1}], ' ') as m from (select news_id, w, unnest(range(1, len(w) - {n - 2})) as i from said)" for n in range(1, 5))
+    hits = f"select distinct news_id, ticker from (select * from spans where regexp_matches(m, '^\\p{{Lu}}')) join known on k = {_normal('m')}"
+    return _with(["anns"], "select news_id, string_agg(ticker, ',' order by ticker) as tickers from hits group by 1", said=said, known=known, spans=spans, hits=hits)

@@ -21,8 +21,8 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> str:
     """GraphML of a graph that fits one document; evidence becomes its sorted kinds, nulls become empty."""
-    if edges.count() > EDGE_LIMIT:
-        raise ValueError(f"a GraphML document is one string; the graph has more than {EDGE_LIMIT} edges")
+    if max(edges.count(), nodes.count()) > EDGE_LIMIT:
+        raise ValueError(f"a GraphML document is one string; the graph has more than {EDGE_LIMIT} nodes or edges")
     if "evidence" in edges.columns:
         edges = edges.withColumn("evidence_kinds", kinds()).drop("evidence")
     root = ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
