@@ -55,3 +55,19 @@ def test_tree_levels_cover_and_separate():
             assert a <= c < b and np.linalg.norm(t.unit[a:b] - t.unit[c], axis=1).max() <= r + 1e-7
     counts, _ = Traversal(t, t, True, Settings()).counts()
     assert (np.rint(counts) == (t.unit @ t.unit.T >= 0.9).sum(1) - 1).all()
+
+
+def test_any_finite_size_links(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [1.0, 0.0]), (4, [1e-200, 0.0]), (5, [5e-324, 0.0]), (6, [0.0, 1.7e308]), (7, [0.0, -1.0]), (8, [9.0, 4.358898943540674])]
+    got = sorted(tuple(r) for r in cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [g[2] for g in got] == [1, 1, 1, 1, 1, 6, 7, 1]
+    assert [g[1] for g in got][5:7] == [0, 0]
+
+
+@pytest.mark.parametrize("shard", [7, 30])
+def test_rings_and_crowded_bins(spark, shard):
+    rng = np.random.default_rng(shard)
+    x = np.concatenate([np.round(rng.normal(0, 1, (120, 3)), 1), [[1, 0, 0], [0, 1, 0], [0, 0, 1]] * 3, [[1, k / 1e6, 0] for k in range(40)]])
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = sorted(tuple(r) for r in cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Settings(shard_rows=shard, pivots=3, most_pivots=5, bins=16)).collect())
+    assert got == brute(rows)

@@ -2,16 +2,19 @@
 
 Vectors on the unit sphere are compared by distance, ``|x - y|^2 = 2 - 2 cos``.
 
-1.  Equal vectors are one class; classes are dealt to the cells of a few pivots
-    and cells to shards of bounded size.  Pivots only steer the pruning.
+1.  Equal vectors are one class.  Classes are dealt to the cells of pivots, whose
+    number grows with the table, and a cell to shards of bounded size by the
+    distance from its pivot, so that a shard is a ring around a pivot.
 2.  Each shard builds a cover tree: nested levels of centres whose radii halve,
     points in tree order, so that a node is a range, with its true covering
-    radius and its weight (copies included).
-3.  Pairs of shards that the pivots' radii don't rule out are traversed from
-    both roots.  A pair of nodes is dropped where its centres are further apart
-    than the threshold and both covering radii, and counted whole, without
-    being opened, where even its furthest points are near enough; other pairs
-    are opened into their children, down to points compared in double precision.
+    radius and its weight (copies included).  The highest level under the root
+    has the least power of two that reaches the threshold's distance: wider
+    nodes could never be told apart.
+3.  Pairs of shards that the rings don't rule out are traversed from both roots.
+    A pair of nodes is dropped where its centres are further apart than the
+    threshold and both covering radii, and counted whole, without being opened,
+    where even its furthest points are near enough; other pairs are opened into
+    their children, down to points compared in double precision.
 4.  A pair of shards returns the link counts of its points and the edges of a
     spanning forest, not its links; counts are added, and components of the
     edges are the components of the links.
@@ -19,13 +22,16 @@ Vectors on the unit sphere are compared by distance, ``|x - y|^2 = 2 - 2 cos``.
 A large dense group is therefore counted node by node, and its pairs are never
 listed.  Vectors without any structure (directions at random in many
 dimensions) can't be pruned by any metric tree; shards are then multiplied as
-matrices, which costs the square of their number.
+matrices, which costs the square of their number, and each shard travels to as
+many tasks as there are shards.
 
 Defined cases: a vector that is null, empty or zero, or holds null or
-non-finite components, links with nothing; vectors of different lengths never
-link; equal rows are links of each other; a null id takes part in counts and
-its component is the smallest id that isn't null; an empty table gives an empty
-result; other columns are ignored.
+non-finite components, links with nothing; components of any finite size count
+(each vector is first scaled by a power of two); vectors of different lengths
+never link; equal rows are links of each other; a cosine of exactly the
+threshold links; a null id takes part in counts and its component is the
+smallest id that isn't null; a very long vector is one row; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +56,10 @@ BLOCK = 1024
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.9
-    pivots: int = 16
-    shard_rows: int = 4096
+    pivots: int = 16  # at least, and one for each shard's worth of rows up to most_pivots
+    most_pivots: int = 256
+    shard_rows: int = 16_384
+    bins: int = 1024  # of distances from a pivot
     least_radius: float = 0.02
 
     @property
@@ -67,9 +75,8 @@ def _read(column: pa.Array) -> list[np.ndarray | None]:
             out.append(None)
             continue
         v = x.values.to_numpy()
-        with np.errstate(over="ignore"):
-            norm = float(np.sqrt(np.sum(np.square(v, dtype=np.float64))))
-        out.append(v if np.isfinite(norm) and norm > 0 else None)
+        most = np.abs(v).max()
+        out.append(v if np.isfinite(most) and most > 0 else None)
     return out
 
 
@@ -80,16 +87,21 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["vec_id", "raw"])
 
 
-def units(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), "<f8").reshape(len(raws), -1)
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; a power of two brings each row's largest component near 1 first, which rounds nothing."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def units(raws: list[bytes]) -> np.ndarray:
+    return scaled(np.frombuffer(b"".join(raws), "<f8").reshape(len(raws), -1))
+
+
 @dataclass
 class Tree:
     """Nodes of level k are nodes[k]; points stand in tree order."""
 
-    keys: list[str]
+    keys: np.ndarray
     unit: np.ndarray
     weight: np.ndarray
     centre: list[np.ndarray]  # point of each node
@@ -99,12 +111,12 @@ class Tree:
     child: list[np.ndarray]  # of node i: child[i] .. child[i + 1] - 1 in the next level
 
 
-def build(keys: list[str], unit: np.ndarray, weight: np.ndarray, least_radius: float) -> Tree:
-    n = len(keys)
+def build(keys: list, unit: np.ndarray, weight: np.ndarray, least_radius: float, top_radius: float = 1.0) -> Tree:
+    n, single = len(keys), unit.astype(np.float32)  # radii are taken in double precision
     groups = [np.arange(n)]  # of the nodes of a level, centre first
     levels: list[list[np.ndarray]] = [groups]
     sizes: list[list[int]] = []
-    radius = 1.0
+    radius = top_radius
     while radius >= least_radius and any(len(g) > 1 for g in levels[-1]):
         nxt, count = [], []
         for g in levels[-1]:
@@ -115,14 +127,14 @@ def build(keys: list[str], unit: np.ndarray, weight: np.ndarray, least_radius: f
             bound, left, before = 1 - radius * radius / 2, g, len(nxt)
             # halve the radius: the node's own centre first, then whatever is left uncovered
             while len(left):
-                near = unit[left[:256]] @ unit[left].T >= bound
+                near = single[left[:256]] @ single[left].T >= bound
                 free = np.ones(len(left), bool)
                 for k in range(len(near)):
                     if free[k]:
+                        near[k, k] = True
                         covered = near[k] & free
-                        covered[k] = True
                         nxt.append(left[covered])
-                        free &= ~covered
+                        free ^= covered
                 left = left[free]
             count.append(len(nxt) - before)
         levels.append(nxt)
@@ -142,7 +154,7 @@ def build(keys: list[str], unit: np.ndarray, weight: np.ndarray, least_radius: f
         last.append(np.cumsum(size))
         rad.append(np.array([0.0 if len(g) == 1 else sqrt(max(0.0, 2 - 2 * float((unit[g] @ unit[g[0]]).min()))) for g in nodes]))
     child = [np.concatenate(([0], np.cumsum(c))) for c in sizes]
-    return Tree([keys[i] for i in order], unit[order], weight[order], centre, rad, first, last, child)
+    return Tree(np.asarray(keys)[order], unit[order], weight[order], centre, rad, first, last, child)
 
 
 class Traversal:
@@ -245,7 +257,7 @@ class Traversal:
         cb = b.child[lb] if lb < mb else np.arange(len(b.centre[lb]) + 1)
         area = (ca[p + 1] - ca[p]) * (cb[q + 1] - cb[q])
         for k in np.flatnonzero(area > 4096):
-            yield from self._product(ma, mb, np.arange(ca[p[k]], ca[p[k] + 1]), np.arange(cb[q[k]], cb[q[k] + 1]))
+            yield from self._product(ma, mb, np.arange(ca[p[k]], ca[p[k] + 1]), np.arange(cb[q[k]], cb[q[k] + 1]), self.same and p[k] == q[k])
         few = np.flatnonzero(area <= 4096)
         for k in range(0, len(few), 256):
             x, y = p[few[k : k + 256]], q[few[k : k + 256]]
@@ -254,26 +266,49 @@ class Traversal:
             w = np.repeat(w, n)
             yield np.repeat(ca[x], n) + at // w, np.repeat(cb[y], n) + at % w
 
-    def _product(self, ma: int, mb: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of the nodes i x j that the bound doesn't drop, by matrix products of nodes of like radius."""
+    def _product(self, ma: int, mb: int, i: np.ndarray, j: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the nodes i x j that the bound doesn't drop, by matrix products of nodes of like radius; ``own``: i is j."""
         a, b = self.a, self.b
         i, j = i[np.argsort(a.radius[ma][i], kind="stable")], j[np.argsort(b.radius[mb][j], kind="stable")]
         x, y = a.unit[a.centre[ma][i]].astype(np.float32), b.unit[b.centre[mb][j]].astype(np.float32)
+        ra, rb = a.radius[ma][i], b.radius[mb][j]
         for lo in range(0, len(i), BLOCK):
-            ra = a.radius[ma][i[lo : lo + BLOCK]].max()
-            for at in range(0, len(j), BLOCK):
-                far = self.t + ra + b.radius[mb][j[at : at + BLOCK]].max() + 1e-3  # single precision here, exact bounds next
-                p, q = np.nonzero(x[lo : lo + BLOCK] @ y[at : at + BLOCK].T >= 1 - far * far / 2)
-                if len(p):
-                    yield i[lo + p], j[at + q]
+            for at in range(lo if own else 0, len(j), BLOCK):
+                far = self.t + ra[lo : lo + BLOCK].max() + rb[at : at + BLOCK].max() + 1e-3  # single precision here, exact bounds next
+                hit = np.flatnonzero(x[lo : lo + BLOCK] @ y[at : at + BLOCK].T >= 1 - far * far / 2)
+                if len(hit):
+                    p, q = i[lo + hit // len(j[at : at + BLOCK])], j[at + hit % len(j[at : at + BLOCK])]
+                    if own:
+                        if at == lo:
+                            p, q = p[p <= q], q[p <= q]
+                        p, q = np.minimum(p, q), np.maximum(p, q)
+                    yield p, q
+
+
+def _packed(tree: Tree, raw: np.ndarray) -> bytes:
+    """The tree without its unit vectors, which follow from the raw ones, in single precision where that holds them."""
+    short = raw.astype(np.float32)
+    tree.unit = short if np.array_equal(short, raw) else raw
+    return pickle.dumps(tree)
+
+
+def _unpacked(blob: pa.BinaryScalar) -> Tree:
+    tree = pickle.loads(blob.as_buffer())
+    tree.unit = scaled(tree.unit.astype(np.float64))
+    return tree
 
 
 def _plant(s: Settings):
+    top = 2.0 ** np.ceil(np.log2(s.distance))
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys = table.column("key").to_pylist()
-        tree = build(keys, units(table.column("raw").to_pylist()), table.column("copies").to_numpy().astype(float), s.least_radius)
-        return pa.table({"shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.large_binary()).cast(pa.binary())})
+        table = table.sort_by("class")
+        classes, raws = table.column("class").to_numpy(), table.column("raw").to_pylist()
+        raw = np.frombuffer(b"".join(raws), "<f8").reshape(len(raws), -1)
+        tree = build(classes, scaled(raw), table.column("copies").to_numpy().astype(float), s.least_radius, top)
+        with np.errstate(over="ignore"):
+            blob = _packed(tree, raw[np.searchsorted(classes, tree.keys)])
+        return pa.table({"shard": table.column("shard")[:1], "tree": pa.array([blob], pa.large_binary()).cast(pa.binary())})
 
     return run
 
@@ -281,36 +316,22 @@ def _plant(s: Settings):
 def _compare(s: Settings):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("side")
-        trees = [pickle.loads(x.as_buffer()) for x in table.column("tree")]
+        trees = [_unpacked(x) for x in table.column("tree")]
         same = len(trees) == 1
         a, b = trees[0], trees[-1]
         found = Traversal(a, b, same, s)
-        keys, label = (a.keys if same else a.keys + b.keys), found.label
+        keys, label = (a.keys if same else np.concatenate((a.keys, b.keys))), found.label
         links = np.concatenate(found.counts())
         at = np.flatnonzero((links > 0) | (label != np.arange(len(label))))
-        return pa.table({"key": pa.array([keys[k] for k in at], pa.string()), "links": pa.array(np.rint(links[at]).astype(np.int64)), "root": pa.array([keys[label[k]] for k in at], pa.string())})
+        return pa.table({"class": pa.array(keys[at]), "links": pa.array(np.rint(links[at]).astype(np.int64)), "root": pa.array(keys[label[at]])})
 
     return run
 
 
-def cosine_links(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    s, spark = settings, vectors.sparkSession
-    folder = work_dir(spark, "covertree")
-    src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
-    rows = src.mapInArrow(_raw, "vec_id long, raw binary").withColumn("key", F.md5("raw"))
-    rows = save(rows, f"{folder}/rows")
-    classes = rows.where("raw is not null").groupBy("raw", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    classes = save(classes.withColumn("size", F.length("raw")), f"{folder}/classes")
-
-    # a few pivots for each vector length, of the smallest hashes: only they come to the driver
-    chosen: dict[int, np.ndarray] = {}
-    for r in classes.select("size").distinct().collect():
-        some = classes.where(F.col("size") == r[0]).select("key", "raw").orderBy("key").limit(s.pivots).collect()
-        chosen[r[0]] = units([bytes(x[1]) for x in some])
-    names = {(size, k): n for n, (size, k) in enumerate((size, k) for size, p in sorted(chosen.items()) for k in range(len(p)))}
+def _nearest(chosen: dict[int, np.ndarray], names: dict[tuple[int, int], int]):
+    """The nearest pivot of each vector and the distance from it."""
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column(1).to_pylist()
             cells, far = np.zeros(len(raws), np.int32), np.zeros(len(raws))
@@ -321,37 +342,79 @@ def cosine_links(vectors: DataFrame, settings: Settings = Settings(), id_col: st
                 best = cos.argmax(1)
                 cells[at] = [names[int(size), int(k)] for k in best]
                 far[at] = np.sqrt(np.maximum(2 - 2 * cos[np.arange(len(at)), best], 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells), pa.array(far)], names=["key", "raw", "copies", "cell", "far"])
-
-    celled = save(classes.select("key", "raw", "copies").mapInArrow(nearest, "key string, raw binary, copies long, cell int, far double"), f"{folder}/celled")
-    facts = {r[0]: (r[1], r[2]) for r in celled.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect()}  # a row for each pivot
-    parts = {c: -(-n // s.shard_rows) for c, (n, _) in facts.items()}
-    base, total = {}, 0
-    for c in sorted(parts):
-        base[c], total = total, total + parts[c]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells), pa.array(far)], names=["class", "raw", "copies", "cell", "far"])
+
+    return run
+
+
+def _rings(celled: DataFrame, s: Settings) -> tuple[list[tuple], list[tuple]]:
+    """(cell, bin, first shard, shards) of each bin of distances, and (shard, cell, least, largest distance) of each shard.
+
+    Bins are few (pivots times ``bins``).  Neighbouring bins of a cell share a
+    shard while they fit; a bin of more rows is dealt to several by hash.
+    """
+    bins = celled.groupBy("cell", "bin").agg(F.count(F.lit(1)), F.min("far"), F.max("far")).collect()
+    dealt, shards, before, filled = [], [], None, 0
+    for cell, k, n, lo, hi in sorted(tuple(r) for r in bins):
+        parts = -(-n // s.shard_rows)
+        if parts == 1 and cell == before and filled + n <= s.shard_rows:
+            filled += n
+            shards[-1] = (*shards[-1][:3], hi)
+        else:
+            shards += [(len(shards) + j, cell, lo, hi) for j in range(parts)]
+            before, filled = cell, (n if parts == 1 else s.shard_rows)
+        dealt.append((cell, k, len(shards) - parts, parts))
+    return dealt, shards
+
+
+def cosine_links(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row."""
+    s, spark = settings, vectors.sparkSession
+    folder = work_dir(spark, "covertree")
+    src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
+    rows = src.mapInArrow(_raw, "vec_id long, raw binary").withColumn("key", F.md5("raw"))
+    rows = save(rows, f"{folder}/rows")
+    classes = rows.where("raw is not null").groupBy("raw", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    # the numbers hold because the table is stored
+    classes = save(classes.select("*", F.length("raw").alias("size"), F.monotonically_increasing_id().alias("class")), f"{folder}/classes")
+
+    # pivots of each vector length, of the smallest hashes: only they come to the driver
+    chosen: dict[int, np.ndarray] = {}
+    for size, n in classes.groupBy("size").count().collect():
+        pivots = min(s.most_pivots, max(s.pivots, n // s.shard_rows))
+        some = classes.where(F.col("size") == size).select("key", "raw").orderBy("key").limit(pivots).collect()
+        chosen[size] = units([bytes(x[1]) for x in some])
+    names = {(size, k): n for n, (size, k) in enumerate((size, k) for size, p in sorted(chosen.items()) for k in range(len(p)))}
     pivot = {n: chosen[size][k] for (size, k), n in names.items()}
-    near = []
-    for c in parts:
-        for e in parts:
-            if c <= e and len(pivot[c]) == len(pivot[e]) and np.linalg.norm(pivot[c] - pivot[e]) <= s.distance + facts[c][1] + facts[e][1] + SLACK:
-                near.append((base[c], parts[c], base[e], parts[e]))
-    dealing = spark.createDataFrame([(c, base[c], parts[c]) for c in parts], "cell int, base int, parts int")
-    sharded = celled.join(F.broadcast(dealing), "cell")  # a row for each pivot
-    sharded = sharded.withColumn("shard", (F.col("base") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int"))
-    trees = save(sharded.select("shard", "key", "raw", "copies").groupBy("shard").applyInArrow(_plant(s), "shard int, tree binary"), f"{folder}/trees")
-
-    pairs = spark.createDataFrame(near, "b1 int, n1 int, b2 int, n2 int")
-    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(b1, b1 + n1 - 1)"))).withColumn("j", F.explode(F.expr("sequence(b2, b2 + n2 - 1)"))).where("i <= j")
-    ends = pairs.select("i", "j", F.explode(F.expr("if(i = j, array(struct(i as shard, 0 as side)), array(struct(i as shard, 0 as side), struct(j as shard, 1 as side)))")).alias("x"))
+
+    celled = classes.select("class", "raw", "copies").mapInArrow(_nearest(chosen, names), "class long, raw binary, copies long, cell int, far double")
+    celled = save(celled.withColumn("bin", F.floor(F.col("far") * (s.bins / 2)).cast("int")), f"{folder}/celled")
+    dealt, shards = _rings(celled, s)
+    dealing = spark.createDataFrame(dealt, "d_cell int, d_bin int, first int, parts int")
+    sharded = celled.join(F.broadcast(dealing), (F.col("cell") == F.col("d_cell")) & (F.col("bin") == F.col("d_bin")))  # a row for each bin
+    sharded = sharded.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("class"), F.col("parts"))).cast("int"))
+    trees = save(sharded.select("shard", "class", "raw", "copies").groupBy("shard").applyInArrow(_plant(s), "shard int, tree binary"), f"{folder}/trees")
+
+    apart = [(c, e, float(np.linalg.norm(pivot[c] - pivot[e]))) for c in pivot for e in pivot if c <= e and len(pivot[c]) == len(pivot[e])]
+    rings = spark.createDataFrame(shards, "shard int, cell int, lo double, hi double")
+    one, other = (rings.select(*[F.col(c).alias(f"{c}_{k}") for c in rings.columns]) for k in "ab")
+    pairs = spark.createDataFrame(apart, "cell_a int, cell_b int, apart double").join(one, "cell_a").join(other, "cell_b")
+    reach = F.lit(s.distance + SLACK)
+    pairs = pairs.where((F.col("apart") <= reach + F.col("hi_a") + F.col("hi_b")) & ((F.col("cell_a") < F.col("cell_b")) | (F.col("shard_a") <= F.col("shard_b"))))
+    gap = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a"))
+    # by the triangle over both pivots, rings of different radii are apart, too
+    pairs = pairs.where(gap - F.col("apart") <= reach)
+    ends = pairs.select(F.col("shard_a").alias("i"), F.col("shard_b").alias("j"), F.explode(F.expr("if(shard_a = shard_b, array(struct(shard_a as shard, 0 as side)), array(struct(shard_a as shard, 0 as side), struct(shard_b as shard, 1 as side)))")).alias("x"))
     work = ends.select("i", "j", "x.shard", "x.side").join(trees, "shard")
-    found = save(work.groupBy("i", "j").applyInArrow(_compare(s), "key string, links long, root string"), f"{folder}/found")
+    found = save(work.groupBy("i", "j").applyInArrow(_compare(s), "class long, links long, root long"), f"{folder}/found")
 
-    counts = save(found.groupBy("key").agg(F.sum("links").alias("links")), f"{folder}/counts")
-    groups = components(found.where("key <> root").select("key", "root").distinct(), f"{folder}/stars")
-    least = save(classes.select("key", "copies", "least"), f"{folder}/least")
-    member = least.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    counts = save(found.groupBy("class").agg(F.sum("links").alias("links")), f"{folder}/counts")
+    groups = save(components(found.where("class <> root").select("class", "root").distinct(), f"{folder}/stars"), f"{folder}/groups")
+    least = classes.select("class", "key", "copies", "least")
+    member = least.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    member = save(member, f"{folder}/member")
     top = save(member.groupBy("component").agg(F.min("least").alias("component_id")), f"{folder}/top")
-    facts_of = member.join(top, "component").join(counts, "key", "left")
+    facts_of = member.join(top, "component").join(counts, "class", "left")
     facts_of = save(facts_of.select(F.col("key").alias("k"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), f"{folder}/facts")
     out = rows.select("vec_id", "key").join(facts_of, F.col("key") == F.col("k"), "left")
     n_links = F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long")
