@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 ENCODE_ROWS = 512
 ENCODE_BYTES = 4 << 20
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_000_000
 LONGEST_CACHED = 48
 RUN = 256
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -115,7 +115,7 @@ class Encoder:
         known, long = self.cache, []
         if split:
             distinct = set().union(*(pieces for _, pieces in split))
-            missing = [c for c in distinct if c not in known]
+            missing = list(distinct.difference(known))
             if len(known) + len(missing) > CACHE_ENTRIES:
                 known.clear()
                 missing = list(distinct)
