@@ -13,8 +13,13 @@ statistics and scores cover every row.
 Defined cases: a null or empty text has zero counts and is scored like any
 other; repeated rows score alike; a null id is never a training row and isn't
 held out; a document labelled more than once counts once, with its largest
-label; without labels of both kinds, every score is the mean label, or 0.5;
-an empty table gives an empty result; other columns are ignored.
+label; of several rows of one id, that with the smallest statistics teaches, and
+each is scored by its own text; a very long text is measured whole; equal scores
+get equal values; without labels of both kinds, every score is the mean label, or
+0.5; an empty table gives an empty result; other columns are ignored.
+
+The standardised statistics themselves stand beside the Fourier features: those
+are bounded, so far from the labelled rows they alone would leave no order.
 """
 
 from __future__ import annotations
@@ -178,7 +183,8 @@ class Model:
 def fit(measured: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on (doc_id, x) and (doc_id, label)."""
     label = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("double").alias("y"))
-    train = measured.where("doc_id is not null").join(label, "doc_id").dropDuplicates(["doc_id"])
+    label = save(label, work_dir(measured.sparkSession, "quality-labels"))
+    train = measured.where("doc_id is not null").join(label, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("row")).select("doc_id", "row.*")
     train = train.withColumn("at", F.xxhash64("doc_id"))
     share = min(1.0, s.sample / max(1, label.count()))
     train = train.where(F.pmod("at", F.lit(1 << 40)) < int(share * (1 << 40)))
