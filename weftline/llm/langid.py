@@ -18,7 +18,7 @@ the hash of the id), and hold 2**bits counts for each language.
 Defined cases: null or empty html gives no text evidence, so that the other
 evidence decides; a null or odd url has the empty host; a missing declaration is
 a value of its own; ties go to the language that sorts first; repeated rows are
-scored alike; an empty table gives an empty result; without any labelled
+scored alike; a very long page is read whole; an empty table gives an empty result; without any labelled
 document the language is null; other columns are ignored.
 """
 
@@ -58,6 +58,7 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     low = np.where(letter, low, 32)
     keep = letter.copy()
+    keep[:1] = True  # as at the start of any row
     keep[1:] |= letter[:-1] | (row[1:] != row[:-1])
     low, row = low[keep].astype(np.uint32), row[keep]
     if len(low) < 3:
