@@ -42,7 +42,10 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python in smaller batches than Spark's default, unless the session chose its own."""
+    """Hand whole texts to Python in smaller batches than Spark's default, unless the session chose its own.
+
+    The setting stays changed, because results are lazy and their tasks read it when they run.
+    """
     if spark.conf.get(ARROW_ROWS, None) in (None, "10000"):
         spark.conf.set(ARROW_ROWS, "2000")
 
@@ -70,3 +73,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession, hours: float = 0.0) -> int:
+    """Delete the operators' work folders that are older than ``hours`` and return how many; results must have been written by then."""
+    jvm, deleted = spark.sparkContext._jvm, 0
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline")
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return 0
+    before = jvm.System.currentTimeMillis() - int(hours * 3_600_000)
+    for status in store.listStatus(root):
+        if status.getModificationTime() <= before:
+            deleted += store.delete(status.getPath(), True)
+    return deleted
