@@ -3,6 +3,15 @@
 Each stage gets what its predecessor wrote and read again.  All but the last
 return the columns of ``documents``; the last returns the pieces of sequences
 (``pack_documents(..., with_ids=True)`` adds their ids).
+
+Defined cases, as the operators have them: a null or empty text is judged by the
+classifier like any other, links with nothing, holds no test item and no personal
+data, and is packed as its end id; rows with a null id are never linked and stay;
+of repeated rows with words one stays; rows of one id with different texts are
+judged each by its own; of tied group members the smallest id stays; a very long
+text is read whole by every stage; without labels of both kinds all scores are
+equal and all rows stay or go together; empty tables give no pieces; columns
+beyond those used pass through under any name, ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
