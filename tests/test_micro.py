@@ -328,3 +328,14 @@ def test_plans_hold_no_global_window_over_rows_and_no_nested_loop(spark):
         assert all("n_tickers" in x for x in re.findall(r"BroadcastNestedLoopJoin[^\n]*\n(?:[^\n]*\n){0,12}", text))
     text = pairstats.bh_reject(tests)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Window \[[^\n]*windowspecdefinition\(v#\d+ ASC", text)
+
+
+def test_confirmed_graph_document(spark, tmp_path):
+    node = spark.createDataFrame([(k, k.lower(), "S", "") for k in "ABC"], "id string, name string, sector string, grp string")
+    edges = spark.sql("select 'A' as src, 'B' as dst, 0.5D as weight, 0.6D as similarity, 0.01D as coint_p, 0.02D as te_p union all select 'B', 'A', 0.9D, 0.9D, 0.0D, 0.0D")
+    assert [r["weight"] for r in graph.strongest(edges, 1).collect()] == [0.9]
+    for path in (f"{tmp_path}/c.graphml", f"file://{tmp_path}/d.graphml"):
+        graphs.write_confirmed(node, edges, path)
+        with open(path.removeprefix("file://"), encoding="utf-8") as f:
+            text = f.read()
+        assert text.count("<node ") == 2 and text.count("<edge ") == 2 and 'attr.name="coint_p"' in text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from xml.etree import ElementTree as ET
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +41,19 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> str:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> str:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(graphml(nodes, edges))
+    """Write the document to a path of this machine or to the address of a store, e.g. ``file://`` or ``hdfs://``."""
+    store, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with store.open_output_stream(place) as f:
+        f.write(graphml(nodes, edges).encode())
     return path
 
 
+def write_confirmed(nodes: DataFrame, confirmed: DataFrame, path: str) -> str:
+    """GraphML of confirmed edges (src, dst, weight, similarity, coint_p, te_p) and the nodes that they join."""
+    ends = confirmed.select(F.explode(F.array("src", "dst")).alias("end")).distinct()
+    return write_graphml(nodes.join(ends, F.col("id") == F.col("end"), "left_semi"), confirmed, path)
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """(id, degree): edges in and out."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
