@@ -51,7 +51,7 @@ def _spread(ids: DataFrame, shard_rows: int) -> tuple[list[tuple[int, int, int,
 
 
 def range_sharded(df: DataFrame, id_col: str, row_hash: Column, shard_rows: int) -> DataFrame:
-    """``df`` with the long column SHARD, in id order, dealt so that a shard's rows are in one partition."""
+    """``df`` with the long column SHARD, in id order; each shard is a partition."""
     spark = df.sparkSession
     cells, none, shard_rows = _spread(df.select(F.col(f"`{id_col}`").alias("id")), shard_rows)
     before, levels = none, {}
@@ -68,4 +68,4 @@ def range_sharded(df: DataFrame, id_col: str, row_hash: Column, shard_rows: int)
     # the hash's upper 31 bits say which of the parts
     part = F.shiftright(F.shiftrightunsigned(row_hash, 33) * parts, 31)
     shards = max(1, -(-before // shard_rows))
-    return out.withColumn(SHARD, (first + part).cast("long")).drop(*helpers).repartition(shards, SHARD)
+    return out.withColumn(SHARD, (first + part).cast("long")).drop(*helpers).repartitionById(shards, F.col(SHARD).cast("int"))

@@ -62,7 +62,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class Settings:
     file_bytes: int = 64 << 20
-    shard_pages: int = 8192
+    shard_pages: int = 4096
     level: int = 6
     date: str = "2020-01-01T00:00:00Z"
     least_payload: int = 0  # payloads shorter than this are never revisits
