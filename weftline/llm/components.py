@@ -24,9 +24,8 @@ def _star(pairs: DataFrame, large: bool, path: str) -> DataFrame:
     least = save(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), path)
     joined = near.join(least.withColumnRenamed("u", "of"), F.col("u") == F.col("of"))
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
+        return joined.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
     return out.where("a <> b").distinct()
 
 

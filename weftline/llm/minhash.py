@@ -59,7 +59,7 @@ class Scheme:
     band_miss: float = 1e-5  # chance that a pair at the threshold shares no band
     miss: float = 1e-4  # posterior below which a pair is given up
     batch: int = 20
-    block: int = 512
+    block: int = 256
     block_shingles: int = 1 << 20  # of a block, about
 
     @property
@@ -240,9 +240,11 @@ def _grouped(docs: DataFrame, s: Scheme, id_col: str, text_col: str) -> DataFram
         here = save(here, f"{folder}/members")
         dealt = dealt.union(_deal(here, save(_blocks(here, "key", s), f"{folder}/sized-buckets"), "key"))
     texts = near.select("class", F.col("one.doc_id").alias("x"), F.col("one.h1").alias("x1"), F.col("one.h2").alias("x2"))
-    texts = src.join(texts, (F.col("doc_id") == F.col("x")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")))
+    # texts move by their hashes at every size, as they must where the neighbourhoods are many
+    texts = src.join(texts.hint("merge"), (F.col("doc_id") == F.col("x")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")))
     texts = save(texts.select(F.col("class").alias("c"), "text").dropDuplicates(["c"]), f"{folder}/texts")
-    work = dealt.join(texts, F.col("class") == F.col("c"))
+    # a task for each shuffle partition: rows are few, but comparing them isn't
+    work = dealt.join(texts, F.col("class") == F.col("c")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "lo", "hi")
     links = save(work.groupBy("group", "lo", "hi").applyInArrow(_verify(s), "a long, b long"), f"{folder}/links")
 
     linked = components(links, f"{folder}/links-stars").select(F.col("node").alias("n"), F.col("component").alias("linked"))
