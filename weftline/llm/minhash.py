@@ -278,7 +278,8 @@ def keep_one(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id",
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     of = (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(text, F.lit(2)) == F.col("__h2"))
     again = rows.where("stays and times > 1").select("__id", "__h1", "__h2")
-    left = docs.join(rows.where("not stays or times > 1").select("__id", "__h1", "__h2"), of, "left_anti")
+    # by the same plan at every size: rows that go are as many as the copies are
+    left = docs.join(rows.where("not stays or times > 1").select("__id", "__h1", "__h2").hint("merge"), of, "left_anti")
     if again.isEmpty():
         return left
     return left.union(docs.join(again, of).dropDuplicates(["__id", "__h1", "__h2"]).select(*[docs[f"`{c}`"] for c in docs.columns]))
