@@ -56,7 +56,7 @@ BLOCK = 1024
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.9
-    pivots: int = 16  # at least, and one for each shard's worth of rows up to most_pivots
+    pivots: int = 1  # at least, and one for each two shards' worth of rows up to most_pivots
     most_pivots: int = 256
     shard_rows: int = 16_384
     bins: int = 1024  # of distances from a pivot
@@ -381,7 +381,7 @@ def cosine_links(vectors: DataFrame, settings: Settings = Settings(), id_col: st
     # pivots of each vector length, of the smallest hashes: only they come to the driver
     chosen: dict[int, np.ndarray] = {}
     for size, n in classes.groupBy("size").count().collect():
-        pivots = min(s.most_pivots, max(s.pivots, n // s.shard_rows))
+        pivots = min(s.most_pivots, max(s.pivots, n // (2 * s.shard_rows)))
         some = classes.where(F.col("size") == size).select("key", "raw").orderBy("key").limit(pivots).collect()
         chosen[size] = units([bytes(x[1]) for x in some])
     names = {(size, k): n for n, (size, k) in enumerate((size, k) for size, p in sorted(chosen.items()) for k in range(len(p)))}
