@@ -170,3 +170,10 @@ def test_statistical_graph_keeps_all_surrogates(spark, monkeypatch):
     monkeypatch.setattr(graph.pairstats, "significant_te_pairs", lambda rows, alpha, bins, n, seed: seen.append(n) or keep(rows, alpha, bins, n, seed))
     catalogue.QUERIES["statistical_graph"](spark, SF.replace("sf0.01", "sf0.001"))
     assert seen == [200]
+
+
+def test_auc_of_no_rows(spark):
+    """A count of nothing is 0, as in SQL; there are no groups of nothing."""
+    rows = spark.createDataFrame([], "g int, score double, label int")
+    assert tuple(models.auc(rows).first()) == (0, None, None)
+    assert models.auc(rows, by=("g",)).collect() == []

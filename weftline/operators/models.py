@@ -19,7 +19,7 @@ BUCKETS = 4096
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, positives, auc), exact: average ranks of ties.
+    """(by, n, positives, auc), exact: average ranks of ties; of no rows n is 0 and the rest null.
 
     Scores are first grouped by value and stored; ranks are sums over buckets of values, and within each.
     """
@@ -30,7 +30,7 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple
     part = F.try_divide(F.col("v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     bucket = F.when(F.col("v") == float("-inf"), -1).when(finite, F.coalesce(F.floor(part * BUCKETS), F.lit(0))).when(F.col("v").isNotNull(), BUCKETS + 1).otherwise(-2)
     ranked = running_counts(values.crossJoin(span), bucket, by).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2.0)
-    t = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("p").alias("pos"), F.sum(F.col("rank") * F.col("p")).alias("ranks"))
+    t = ranked.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum("p").alias("pos"), F.sum(F.col("rank") * F.col("p")).alias("ranks"))
     value = F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos")))
     return t.select(*by, "n", F.col("pos").cast("long").alias("positives"), value.alias("auc"))
 
