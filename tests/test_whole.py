@@ -177,3 +177,15 @@ def test_auc_of_no_rows(spark):
     rows = spark.createDataFrame([], "g int, score double, label int")
     assert tuple(models.auc(rows).first()) == (0, None, None)
     assert models.auc(rows, by=("g",)).collect() == []
+
+
+def test_auc_of_small_moves(spark, tmp_path):
+    """A panel that moves by a few hundredths has shocks, all of which count."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    put_prices(spark, tmp_path, {f"B {k}": [round(float(x), 2) for x in 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 90)))] for k in (1, 2, 8)})
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = catalogue.QUERIES["auc_exact"](spark, str(tmp_path)).first()
+    assert tuple(got) == c.sql(catalogue.SQL["auc_exact"]).fetchall()[0] and got["n"] > 50
