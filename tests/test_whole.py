@@ -189,3 +189,14 @@ def test_auc_of_small_moves(spark, tmp_path):
         c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = catalogue.QUERIES["auc_exact"](spark, str(tmp_path)).first()
     assert tuple(got) == c.sql(catalogue.SQL["auc_exact"]).fetchall()[0] and got["n"] > 50
+
+
+MODELS = {"gbt_direction": [(0, None, None, None)]}
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_models_without_training_rows(spark, monkeypatch, name):
+    columns = [*propagation.FEATURES, *propagation.NEWS]
+    rows = spark.createDataFrame([(*[float(k)] * len(columns), 0.1 * k, k % 2) for k in range(1, 5)], ", ".join(f"{c} double" for c in [*columns, "fwd_return"]) + ", target_up int")
+    monkeypatch.setattr(catalogue, "model_features", lambda *a: (rows.where("target_up = 2"), rows))
+    assert list(map(tuple, catalogue.QUERIES[name](spark, "").collect())) == MODELS[name]

@@ -53,13 +53,18 @@ def logistic(train: DataFrame, features: list[str], label: str, balanced: bool =
     return Pipeline(stages=[*columns, fit]).fit(train)
 
 
-def boosted(train: DataFrame, features: list[str], label: str, depth: int = 3, step: float = 0.05, rounds: int = 400, seed: int = DEFAULTS.seed) -> PipelineModel:
+def boosted(train: DataFrame, features: list[str], label: str, depth: int = 3, step: float = 0.05, rounds: int = 400, seed: int = DEFAULTS.seed) -> PipelineModel | None:
+    """Boosted trees; None of no rows."""
+    if train.isEmpty():
+        return None
     trees = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, stepSize=step, maxIter=rounds, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(train)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``score``, the probability of the label 1."""
+def score(model: PipelineModel | None, df: DataFrame) -> DataFrame:
+    """``df`` with ``score``, the probability of the label 1; without a model no row is scored."""
+    if model is None:
+        return df.where(F.lit(False)).withColumn("score", F.lit(None).cast("double"))
     out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
     return out.select(*df.columns, "score")
 

@@ -404,11 +404,14 @@ def auc_exact(spark, d):
 
 
 def model_features(spark, d, with_news: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The feature matrix of all evidence, cointegration with it, before and from SPLIT; kept in a few partitions for repeated passes."""
+    """The feature matrix of all evidence, cointegration with it, before and from SPLIT; kept in a few partitions for repeated passes.
+
+    Shocks are those of the default threshold: the means of larger tables never move by SHOCK.
+    """
     p, node = cut(views.weekly_prices(spark, d)), brand_nodes(spark, d).persist()
     found = brand_evidence(spark, d).unionByName(graph.cointegration_evidence(pairstats.cointegrated_pairs(p)))
     edges = cut(graph.with_correlation(graph.fold(found), correlation.correlations(panel.log_returns(p))))
-    rows = propagation.build_dataset(p, edges, node, SHOCK, news=_news(spark, d) if with_news else None)
+    rows = propagation.build_dataset(p, edges, node, news=_news(spark, d) if with_news else None)
     return propagation.temporal_split(cut(rows.coalesce(4)), SPLIT)
 
 
