@@ -39,11 +39,13 @@ def accuracy(scored: DataFrame, score: str = "score", label: str = "label") -> D
     return scored.agg(F.avg(((F.col(score) > 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
 
 
-def logistic(train: DataFrame, features: list[str], label: str, balanced: bool = False) -> PipelineModel:
-    """Standardised logistic regression with the penalty of one unit over the whole training set."""
+def logistic(train: DataFrame, features: list[str], label: str, balanced: bool = False) -> PipelineModel | None:
+    """Standardised logistic regression with the penalty of one unit over the whole training set; None of no rows."""
     n = train.count()
+    if not n:
+        return None
     columns = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    fit = LogisticRegression(labelCol=label, maxIter=1000, regParam=1.0 / max(n, 1), standardization=False)
+    fit = LogisticRegression(labelCol=label, maxIter=1000, regParam=1.0 / n, standardization=False)
     if balanced:
         sizes = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
         weight = F.lit(0.0)
