@@ -97,6 +97,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
 
 
 def news_lift(train: DataFrame, test: DataFrame, base: list[str], news: list[str], label: str = "target_up", rounds: int = 400) -> DataFrame:
-    """(auc_base, auc_news, lift) of boosted trees on the same rows, without and with the news columns."""
+    """(auc_base, auc_news, lift) of boosted trees on the same rows, without and with the news columns; null where an AUC is."""
     got = [auc(score(boosted(train, f, label, rounds=rounds), test), label=label).first()["auc"] for f in (base, base + news)]
-    return train.sparkSession.createDataFrame([(*got, got[1] - got[0])], "auc_base double, auc_news double, lift double")
+    lift = None if None in got else got[1] - got[0]
+    return train.sparkSession.createDataFrame([(*got, lift)], "auc_base double, auc_news double, lift double")
