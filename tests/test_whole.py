@@ -191,7 +191,7 @@ def test_auc_of_small_moves(spark, tmp_path):
     assert tuple(got) == c.sql(catalogue.SQL["auc_exact"]).fetchall()[0] and got["n"] > 50
 
 
-MODELS = {"logreg_spike": [(0, None, None, None)], "gbt_direction": [(0, None, None, None)], "news_lift": [(None, None, None)]}
+MODELS = {"logreg_spike": [(0, None, None, None)], "gbt_direction": [(0, None, None, None)], "news_lift": [(None, None, None)], "permutation_importance": [(f, None) for f in sorted(propagation.FEATURES)]}
 
 
 @pytest.mark.parametrize("name", MODELS)

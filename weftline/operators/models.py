@@ -71,7 +71,7 @@ def score(model: PipelineModel | None, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "score")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, repeats: int = 8, seed: int = DEFAULTS.seed, block_rows: int = 10_000) -> DataFrame:
+def permutation_importance(model: PipelineModel | None, df: DataFrame, features: list[str], label: str, repeats: int = 8, seed: int = DEFAULTS.seed, block_rows: int = 10_000) -> DataFrame:
     """(feature, importance): the mean loss of AUC when a feature's values are dealt anew.
 
     All repeats of a feature are one pass: rows fall into blocks at random, and within a block each takes
