@@ -4,15 +4,16 @@ import datetime as dt
 import inspect
 import os
 import re
-from difflib import get_close_matches
+from difflib import SequenceMatcher, get_close_matches
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.operators import graph, models, propagation
+from weftline.operators import graph, models, news, propagation
 from weftline.plans import catalogue
 from weftline.sources.universe import companies
 
@@ -200,3 +201,29 @@ def test_models_without_training_rows(spark, monkeypatch, name):
     rows = spark.createDataFrame([(*[float(k)] * len(columns), 0.1 * k, k % 2) for k in range(1, 5)], ", ".join(f"{c} double" for c in [*columns, "fwd_return"]) + ", target_up int")
     monkeypatch.setattr(catalogue, "model_features", lambda *a: (rows.where("target_up = 2"), rows))
     assert list(map(tuple, catalogue.QUERIES[name](spark, "").collect())) == MODELS[name]
+
+
+@pytest.mark.parametrize("cutoff", [0.85, 0.5, 1.0])
+def test_bounds_lose_no_name(cutoff):
+    rng = np.random.default_rng(9)
+    known = [*KNOWN, "", "\u00e9 \u00f6\u00fc", "x" * 70]
+    words = []
+    for _ in range(400):
+        w = list(known[rng.integers(len(known))])
+        for _ in range(rng.integers(5)):
+            i = int(rng.integers(len(w) + 1))
+            w[i : i + int(rng.integers(2))] = [str(rng.choice(list("ax7& \u00e9")))] * int(rng.integers(2))
+        words.append("".join(w))
+    want = {}
+    for i, w in enumerate(words):
+        best = max((SequenceMatcher(None, k, w).ratio(), k) for k in known)
+        if best[0] >= cutoff:
+            want[i] = best
+    assert news.Closest(known, cutoff).many(pa.array(words)) == want
+
+
+@pytest.mark.parametrize("name, shuffles", [("company_mentions", 1)])
+def test_texts_are_read_once(spark, tmp_path, name, shuffles):
+    spark.createDataFrame([(1, "s", "Infosys rose")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == shuffles and "CoGroup" not in plan

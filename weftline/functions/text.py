@@ -58,14 +58,14 @@ def normalise_name(name: Column | str) -> Column:
 def spans(text: Column | str, most: int = 4) -> Column:
     """All runs of 1 to ``most`` white-space words that begin with an upper-case letter.
 
-    The words are bound once; inside the lambdas they would be split anew for each position.
+    Only positions of such words are run over; words and positions are bound once, as inside the lambdas
+    they would be found anew for each position.
     """
     w = F.filter(F.split(F.coalesce(_col(text), F.lit("")), r"\s+"), lambda x: x != "")
-    of = lambda w, n: F.when(
-        F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
-    runs = lambda w: F.filter(F.flatten(F.array(*[of(w, n) for n in range(1, most + 1)])), lambda s: s.rlike(r"^\p{Lu}"))
-    return F.transform(F.array(w), runs)[0]
+    places = lambda w: F.filter(F.transform(w, lambda x, i: F.when(x.rlike(r"^\p{Lu}"), i + 1)), lambda i: i.isNotNull())
+    of = lambda w, at, n: F.transform(F.filter(at, lambda i: i + (n - 1) <= F.size(w)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    runs = lambda w, at: F.flatten(F.array(*[of(w, at, n) for n in range(1, most + 1)]))
+    return F.transform(F.array(w), lambda w: F.transform(F.array(places(w)), lambda at: runs(w, at))[0])[0]
 
 
 def bucket(word: Column, size: int = 512) -> Column:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.config import DEFAULTS
 from weftline.functions import text as tx
@@ -100,48 +105,113 @@ def resolve_exact(mentions: DataFrame, names: DataFrame, column: str = "mention"
     return mentions.withColumn("__key", tx.normalise_name(column)).join(known, "__key", "left").drop("__key")
 
 
+#: bytes by kind: those of normalised names have one each, others share 26
+KINDS = np.array([("abcdefghijklmnopqrstuvwxyz0123456789& ".find(chr(b)) + 64) % 64 if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789& " else 38 + b % 26 for b in range(256)], np.int64)
+
+
 class Closest:
     """The best match of at least ``cutoff`` among fixed names, by the ratio of matching blocks.
 
-    Lengths and letter counts bound the ratio from above, so that few names are compared in full.
+    Lengths and counts of bytes by kind bound the ratio from above. The bounds are taken for many words at
+    a time, in order of their length, so that few words are compared in full with few names.
     """
 
     def __init__(self, names: list[str], cutoff: float):
         self.cutoff = cutoff
-        self.names = sorted((len(n), n, Counter(n)) for n in names)
-
-    def __call__(self, word: str) -> tuple[float, str] | None:
-        n, letters, best = len(word), Counter(word), None
-        matcher = SequenceMatcher()
-        matcher.set_seq2(word)
-        for m, name, have in self.names:
-            if 2 * min(n, m) < self.cutoff * (n + m):
-                if m > n:
-                    break
-                continue
-            if 2 * (letters & have).total() < self.cutoff * (n + m):
+        self.names = []
+        for name in sorted(set(names), key=lambda k: (len(k), k)):
+            m = len(name)
+            fit = [n for n in range(int(m * (2 - cutoff) / cutoff) + 2) if 2 * min(n, m) >= cutoff * (n + m)]
+            if fit:
+                self.names.append((fit[0], fit[-1], m, name, sorted(Counter(KINDS[list(name.encode())].tolist()).items())))
+        self.longest = max((n[1] for n in self.names), default=-1)
+
+    def _candidates(self, words: pa.Array) -> dict[int, list[str]]:
+        """The names that the bounds leave, for positions of ``words``."""
+        length = pc.utf8_length(words).to_numpy()
+        rows = np.flatnonzero(length <= self.longest)
+        rows = rows[np.argsort(length[rows], kind="stable")]
+        left: dict[int, list[str]] = {}
+        if not len(rows):
+            return left
+        n, have = length[rows], words.take(pa.array(rows)).cast(pa.large_binary())
+        ends = np.frombuffer(have.buffers()[1], np.int64)[have.offset : have.offset + len(rows) + 1]
+        data = np.frombuffer(have.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        places = KINDS[data] * len(rows) + np.repeat(np.arange(len(rows)), np.diff(ends))
+        # no sum is over the bytes of the longest word
+        kind = np.uint8 if 4 * self.longest < 256 else np.int64
+        counts = np.bincount(places, minlength=64 * len(rows)).astype(kind).reshape(64, len(rows))
+        for least, most, m, name, letters in self.names:
+            lo, hi = np.searchsorted(n, least), np.searchsorted(n, most, "right")
+            if lo == hi:
                 continue
-            matcher.set_seq1(name)
-            found = (matcher.ratio(), name)
-            if found[0] >= self.cutoff and (best is None or found > best):
-                best = found
-        return best
-
-
-def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column: str = "mention", block: int = 20_000) -> DataFrame:
+            shared = np.zeros(hi - lo, kind)
+            for k, c in letters:
+                shared += np.minimum(counts[k, lo:hi], kind(min(c, np.iinfo(kind).max)))
+            for i in np.flatnonzero(2.0 * shared >= self.cutoff * (n[lo:hi] + m)):
+                left.setdefault(int(rows[lo + i]), []).append(name)
+        return left
+
+    def many(self, words: pa.Array) -> dict[int, tuple[float, str]]:
+        """(ratio, name) of the best match, for the positions of ``words`` that have one; no word is null."""
+        out, matcher = {}, SequenceMatcher()
+        for i, names in self._candidates(words).items():
+            matcher.set_seq2(words[i].as_py())
+            best = None
+            for name in names:
+                matcher.set_seq1(name)
+                found = (matcher.ratio(), name)
+                if found[0] >= self.cutoff and (best is None or found > best):
+                    best = found
+            if best is not None:
+                out[i] = best
+        return out
+
+
+def _resolve_in_passing(mentions: DataFrame, known: dict[str, str | None], cutoff: float, column: str, hits_only: bool) -> DataFrame:
+    """``mentions`` with the ticker of :func:`resolve`, among few names, as the rows pass."""
+    columns = mentions.columns
+    keyed = mentions.withColumn("__key", tx.normalise_name(column))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        closest = Closest(list(known), cutoff)
+        for batch in batches:
+            keys = batch.column(len(columns)).dictionary_encode()
+            best = closest.many(keys.dictionary)
+            found = [known[k] if k in known else known[best[i][1]] if i in best else None for i, k in enumerate(keys.dictionary.to_pylist())]
+            tickers = pa.array(found, pa.string()).take(keys.indices)
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], tickers], names=[*columns, "ticker"])
+            yield out.filter(tickers.is_valid()) if hits_only else out
+
+    return keyed.mapInArrow(run, StructType([*mentions.schema.fields, StructField("ticker", StringType())]))
+
+
+def _few(known: DataFrame, block: int) -> dict[str, str | None] | None:
+    """The names (k, ticker) where a block holds them."""
+    rows = known.where("k is not null").limit(block + 1).collect()
+    return {r["k"]: r["ticker"] for r in rows} if len(rows) <= block else None
+
+
+def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column: str = "mention", block: int = 20_000, hits_only: bool = False) -> DataFrame:
     """Exact matches, and else the closest name of at least ``cutoff``, by matching blocks; of equally close ones the largest.
 
-    Only different mentions that no name equals are compared, part by part with blocks of names, so a
-    task holds a block of names and a part of the mentions, whatever their number.
+    Names that a block holds go to every task, and the mentions pass them once. Of more names, different
+    mentions that no name equals are compared, part by part with blocks of names, so a task holds a block
+    of names and a part of the mentions, whatever their number. ``hits_only`` leaves out mentions without
+    a ticker.
     """
+    if cutoff <= 0:
+        raise ValueError("the cutoff is a ratio over 0")
     known = names.select(tx.normalise_name("name").alias("k"), "ticker").groupBy("k").agg(F.max("ticker").alias("ticker"))
+    if (few := _few(known, block)) is not None:
+        return _resolve_in_passing(mentions, few, cutoff, column, hits_only)
     blocks = -(-known.count() // block) or 1
     parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(found: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        closest = Closest(have["k"].tolist(), cutoff) if len(found) else None
-        best = [(m, *c) for m in found["fuzzy_key"] if (c := closest(m)) is not None]
-        return pd.DataFrame(best, columns=["fuzzy_key", "ratio", "name"])
+        words = pa.array(found["fuzzy_key"], pa.string())
+        best = Closest(have["k"].tolist(), cutoff).many(words) if len(found) else {}
+        return pd.DataFrame([(words[i].as_py(), *c) for i, c in best.items()], columns=["fuzzy_key", "ratio", "name"])
 
     exact = resolve_exact(mentions, names, column)
     key = tx.normalise_name(column)
@@ -152,7 +222,8 @@ def resolve(mentions: DataFrame, names: DataFrame, cutoff: float = 0.85, column:
     near = near.groupBy("fuzzy_key").agg(F.max(F.struct("ratio", "name")).alias("best")).select("fuzzy_key", F.col("best.name").alias("k"))
     fuzzy = near.join(known, "k").select("fuzzy_key", F.col("ticker").alias("fuzzy"))
     out = exact.withColumn("__key", key).join(fuzzy, F.col("__key") == F.col("fuzzy_key"), "left")
-    return out.withColumn("ticker", F.coalesce("ticker", "fuzzy")).drop("__key", "fuzzy_key", "fuzzy")
+    out = out.withColumn("ticker", F.coalesce("ticker", "fuzzy")).drop("__key", "fuzzy_key", "fuzzy")
+    return out.where("ticker is not null") if hits_only else out
 
 
 def mentions(docs: DataFrame, names: DataFrame, key: str, text: str = "text", cutoff: float | None = 0.85, most: int = 4) -> DataFrame:
@@ -160,6 +231,9 @@ def mentions(docs: DataFrame, names: DataFrame, key: str, text: str = "text", cu
 
     Without a ``cutoff`` only exact names count.
     """
-    found = docs.select(key, F.explode(tx.spans(text, most)).alias("mention")).distinct()
-    hit = (resolve_exact(found, names) if cutoff is None else resolve(found, names, cutoff)).where("ticker is not null")
+    found = docs.select(key, F.explode(tx.spans(text, most)).alias("mention"))
+    if cutoff is None:
+        hit = resolve_exact(found.distinct(), names).where("ticker is not null")
+    else:
+        hit = resolve(found, names, cutoff, hits_only=True)
     return hit.groupBy(key).agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
