@@ -222,7 +222,7 @@ def test_bounds_lose_no_name(cutoff):
     assert news.Closest(known, cutoff).many(pa.array(words)) == want
 
 
-@pytest.mark.parametrize("name, shuffles", [("company_mentions", 1)])
+@pytest.mark.parametrize("name, shuffles", [("company_mentions", 1), ("resolve_fuzzy", 1)])
 def test_texts_are_read_once(spark, tmp_path, name, shuffles):
     spark.createDataFrame([(1, "s", "Infosys rose")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
