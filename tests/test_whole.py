@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
+from weftline.functions import text as tx
 from weftline.operators import graph, models, news, propagation
 from weftline.plans import catalogue
 from weftline.sources.universe import companies
@@ -227,3 +228,35 @@ def test_texts_are_read_once(spark, tmp_path, name, shuffles):
     spark.createDataFrame([(1, "s", "Infosys rose")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange ") == shuffles and "CoGroup" not in plan
+
+
+ODD = ["\u00c9lan K\u00f6ln \u0416\u0443\u043a", "A  b\tC\n\nD", " Foo", "Bar ", "\u01c5 \u24b6 \u1e9e \U0001d400x", "a\x1cB C\u00a0D \u2028 E", "\u4e1c\u4eac Kilo \u212a \u0130nc", None, "", " \n ", "x"]
+
+
+def test_spans_in_batches(spark):
+    """Spans cut from bytes are those of the column, however texts are put together."""
+    rng = np.random.default_rng(6)
+    texts = [*ODD, *("".join(rng.choice(list("AB\u00c9\u00e9\u0416c. \t\n"), int(rng.integers(60)))) for _ in range(300))]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    want = {r[0] for r in docs.select(F.explode(tx.spans("text"))).collect()}
+    for at_once in (1, 100, 1 << 20):
+        assert {r["mention"] for r in tx.span_rows(docs, at_once=at_once).collect()} == want
+    assert tx.span_rows(docs.where("text is null")).collect() == []
+
+
+def test_names_in_batches(spark):
+    """Normalised names of a batch are those of the column."""
+    rng = np.random.default_rng(7)
+    parts = [*SUFFIXES, "Ltd.", " INC", "Oil & Gas", " ", "\n", "\r\n", "\u2028", "\u0085", "K", "\u212a", "\u0130", "\u00e9", "-", "\t", "x7"]
+    names = [*ODD, *("".join(rng.choice(parts, int(rng.integers(6)))) for _ in range(2000))]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string").select("i", tx.normalise_name("name").alias("k"))
+    want = [r["k"] for r in sorted(rows.collect())]
+    assert tx.normalised(pa.array(names)).to_pylist() == want
+    assert tx.normalised(pa.array(names)[5:9]).to_pylist() == want[5:9] and tx.normalised(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_mentions_are_cut_and_normalised_in_batches(spark, tmp_path):
+    """No lambda runs over the words of a text, and no chain of patterns over a mention."""
+    spark.createDataFrame([(1, "s", "Infosys rose")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue.QUERIES["resolve_fuzzy"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "regexp_replace" not in plan and plan.count("MapInArrow") == 2

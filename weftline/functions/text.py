@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -68,6 +74,119 @@ def spans(text: Column | str, most: int = 4) -> Column:
     return F.transform(F.array(w), lambda w: F.transform(F.array(places(w)), lambda at: runs(w, at))[0])[0]
 
 
+# by byte: white space, its lower case, and whether a normalised name may hold it
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+IN_NAMES = np.isin(LOWER, list(b"abcdefghijklmnopqrstuvwxyz0123456789& "))
+#: where bytes alone don't tell the normalised name: a suffix, an end of a line, other letters with an ASCII lower case
+NOT_BY_BYTES = "[\n\r\u0085\u2028\u2029\u0130\u212a]|(?i:" + "|".join(map(re.escape, SUFFIXES)) + ")$"
+#: as of Java, a suffix ends before the last end of a line
+ENDING = [re.compile(re.escape(x) + r"(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)") for x in SUFFIXES]
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts, and where each begins and the last ends; a null is empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _strings(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _normalised(name: str) -> str:
+    out = name.strip(" ").lower()
+    for ending in ENDING:
+        out = ending.sub("", out).strip(" ")
+    return re.sub("[^a-z0-9& ]", "", out)
+
+
+def normalised(names: pa.Array) -> pa.Array:
+    """As :func:`normalise_name`, for a batch; a null stays."""
+    trimmed = pc.ascii_trim(names.cast(pa.large_string()), " ")
+    data, ends = _bytes(trimmed)
+    stay = IN_NAMES[data]
+    out = _strings(LOWER[data[stay]], np.concatenate([[0], np.cumsum(stay)])[ends])
+    rare = pc.match_substring_regex(trimmed, NOT_BY_BYTES).fill_null(False)
+    if pc.any(rare).as_py():
+        out = pc.replace_with_mask(out, rare, pa.array([_normalised(x) for x in trimmed.filter(rare).to_pylist()], pa.large_string()))
+    return pc.if_else(names.is_valid(), out, None) if names.null_count else out
+
+
+@cache
+def _upper_case() -> np.ndarray:
+    """Whether a code point is an upper-case letter; none is beyond these."""
+    return np.array([unicodedata.category(chr(c)) == "Lu" for c in range(1 << 17)])
+
+
+def _capital(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 characters at these places are upper-case letters."""
+    head = data[at]
+    out = (head >= 65) & (head <= 90)
+    if len(far := np.flatnonzero(head >= 194)):
+        h = head[far].astype(np.int64)
+        b, c, d = (data[np.minimum(at[far] + k, len(data) - 1)].astype(np.int64) & 63 for k in (1, 2, 3))
+        code = np.where(h < 224, (h & 31) << 6 | b, np.where(h < 240, (h & 15) << 12 | b << 6 | c, (h & 7) << 18 | b << 12 | c << 6 | d))
+        out[far] = _upper_case()[np.minimum(code, (1 << 17) - 1)]
+    return out
+
+
+def _different_spans(texts: pa.Array, most: int) -> pa.Array:
+    data, ends = _bytes(texts)
+    # one space after each word
+    stay = ~SPACE[data]
+    stay[1:] |= stay[:-1].copy()
+    ends = np.concatenate([[0], np.cumsum(stay)])[ends]
+    data = data[stay]
+    word = ~SPACE[data]
+    data = np.where(word, data, np.uint8(32))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last[:-1] &= ~word[1:] | edge[1:-1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+    of = np.searchsorted(ends, first, "right")
+    at = np.flatnonzero(_capital(data, first))
+    begin, end = [], []
+    for n in range(most):
+        at = at[at + n < len(first)]
+        at = at[of[at + n] == of[at]]
+        begin.append(first[at])
+        end.append(last[at + n])
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    to = np.concatenate([[0], np.cumsum(end - begin)])
+    take = np.arange(to[-1])
+    take += np.repeat(begin - to[:-1], end - begin)
+    return _strings(data[take], to).unique()
+
+
+def span_rows(docs: DataFrame, text: str = "text", most: int = 4, at_once: int = 1 << 20) -> DataFrame:
+    """(mention): the :func:`spans` of all texts; some that occur more than once are listed once.
+
+    ``at_once`` is the number of bytes from which no further text is cut together with others; spans of 32
+    such parts are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = _bytes(batch.column(0))[1]
+            parts, lo = [], 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + at_once)))
+                parts.append(_different_spans(batch.column(0)[lo:hi], most))
+                lo = hi
+                if len(parts) == 32 or lo >= len(batch):
+                    found, parts = pa.chunked_array(parts, pa.large_string()).unique(), []
+                    for k in range(0, len(found), 50_000):
+                        yield pa.RecordBatch.from_arrays([found[k : k + 50_000].cast(pa.string())], names=["mention"])
+
+    return docs.select(text).mapInArrow(run, "mention string")
+
+
 def bucket(word: Column, size: int = 512) -> Column:
     """A hash bucket that any SQL engine can compute."""
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % size).cast("int")

@@ -125,12 +125,18 @@ class Closest:
             if fit:
                 self.names.append((fit[0], fit[-1], m, name, sorted(Counter(KINDS[list(name.encode())].tolist()).items())))
         self.longest = max((n[1] for n in self.names), default=-1)
+        # no sum is over the bytes of the longest word
+        self.kind = np.uint8 if 4 * self.longest < 256 else np.int64
+        self.names = [(*name, [(k, self.kind(min(c, np.iinfo(self.kind).max))) for k, c in letters]) for *name, letters in self.names]
+        # the least number of shared letters, by both lengths together
+        both = np.arange(2 * max(self.longest, *(n[2] for n in self.names)) + 1 if self.names else 0)
+        self.need = np.ceil(cutoff * both / 2).astype(self.kind)
 
     def _candidates(self, words: pa.Array) -> dict[int, list[str]]:
         """The names that the bounds leave, for positions of ``words``."""
-        length = pc.utf8_length(words).to_numpy()
+        length = pc.utf8_length(words).to_numpy().astype(np.int64)
         rows = np.flatnonzero(length <= self.longest)
-        rows = rows[np.argsort(length[rows], kind="stable")]
+        rows = rows[np.argsort(length[rows].astype(np.uint16) if self.longest < 1 << 16 else length[rows], kind="stable")]
         left: dict[int, list[str]] = {}
         if not len(rows):
             return left
@@ -138,17 +144,16 @@ class Closest:
         ends = np.frombuffer(have.buffers()[1], np.int64)[have.offset : have.offset + len(rows) + 1]
         data = np.frombuffer(have.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
         places = KINDS[data] * len(rows) + np.repeat(np.arange(len(rows)), np.diff(ends))
-        # no sum is over the bytes of the longest word
-        kind = np.uint8 if 4 * self.longest < 256 else np.int64
-        counts = np.bincount(places, minlength=64 * len(rows)).astype(kind).reshape(64, len(rows))
+        counts = np.bincount(places, minlength=64 * len(rows)).astype(self.kind).reshape(64, len(rows))
+        begin = np.searchsorted(n, np.arange(self.longest + 2))
         for least, most, m, name, letters in self.names:
-            lo, hi = np.searchsorted(n, least), np.searchsorted(n, most, "right")
+            lo, hi = begin[least], begin[most + 1]
             if lo == hi:
                 continue
-            shared = np.zeros(hi - lo, kind)
+            shared, part = np.zeros(hi - lo, self.kind), np.empty(hi - lo, self.kind)
             for k, c in letters:
-                shared += np.minimum(counts[k, lo:hi], kind(min(c, np.iinfo(kind).max)))
-            for i in np.flatnonzero(2.0 * shared >= self.cutoff * (n[lo:hi] + m)):
+                shared += np.minimum(counts[k, lo:hi], c, out=part)
+            for i in np.flatnonzero(shared >= self.need[m:][n[lo:hi]]):
                 left.setdefault(int(rows[lo + i]), []).append(name)
         return left
 
@@ -170,20 +175,24 @@ class Closest:
 
 def _resolve_in_passing(mentions: DataFrame, known: dict[str, str | None], cutoff: float, column: str, hits_only: bool) -> DataFrame:
     """``mentions`` with the ticker of :func:`resolve`, among few names, as the rows pass."""
-    columns = mentions.columns
-    keyed = mentions.withColumn("__key", tx.normalise_name(column))
+    columns, at = mentions.columns, mentions.columns.index(column)
+    exact = sorted(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        closest = Closest(list(known), cutoff)
+        closest = Closest(exact, cutoff)
+        place = {k: i for i, k in enumerate(exact)}
+        keys, of = pa.array(exact, pa.large_string()), pa.array([known[k] for k in exact], pa.string())
         for batch in batches:
-            keys = batch.column(len(columns)).dictionary_encode()
-            best = closest.many(keys.dictionary)
-            found = [known[k] if k in known else known[best[i][1]] if i in best else None for i, k in enumerate(keys.dictionary.to_pylist())]
-            tickers = pa.array(found, pa.string()).take(keys.indices)
-            out = pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], tickers], names=[*columns, "ticker"])
+            words = tx.normalised(batch.column(at)).dictionary_encode()
+            found = pc.index_in(words.dictionary, keys).fill_null(-1).to_numpy().copy()
+            rest = np.flatnonzero(found < 0)
+            for i, (_, name) in closest.many(words.dictionary.take(pa.array(rest))).items():
+                found[rest[i]] = place[name]
+            tickers = of.take(pa.array(found, mask=found < 0)).take(words.indices)
+            out = pa.RecordBatch.from_arrays([*batch.columns, tickers], names=[*columns, "ticker"])
             yield out.filter(tickers.is_valid()) if hits_only else out
 
-    return keyed.mapInArrow(run, StructType([*mentions.schema.fields, StructField("ticker", StringType())]))
+    return mentions.mapInArrow(run, StructType([*mentions.schema.fields, StructField("ticker", StringType())]))
 
 
 def _few(known: DataFrame, block: int) -> dict[str, str | None] | None:

@@ -568,7 +568,7 @@ def resolve_exact(spark, d):
 
 @query("resolve_fuzzy")
 def resolve_fuzzy(spark, d):
-    wanted = views.announcements(spark, d).select(F.explode(tx.spans("text")).alias("mention")).distinct()
+    wanted = tx.span_rows(views.announcements(spark, d)).distinct()
     return news.resolve(wanted, names(universe(spark)))
 
 
